@@ -16,6 +16,7 @@ are read as U+FFFD. All rows and columns are kept; ``ids`` and ``decoded`` repla
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
@@ -23,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,22 +158,35 @@ def replay(words: Iterable[bytes], ranks: Vocabulary) -> list[tuple[int, ...]]:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of words seen."""
+    """Encodes texts; keeps the ids of words seen, each as the bytes of its int32 ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = 800_000):
         self.ranks, self.split, self.limit = Vocabulary(ranks), splitter(pattern), cache_words
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the new words of all of them are replayed as one block."""
         pieces = [self.split(t) for t in texts]
-        new = set(chain.from_iterable(pieces))
+        seen = set(chain.from_iterable(pieces))
+        new = list(seen - self.known.keys())
         if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-        new = list(new - self.known.keys())
-        self.known.update(zip(new, replay([w.encode("utf-8", "replace") for w in new], self.ranks)))
+            self.known = {w: self.known[w] for w in seen if w in self.known}
+        coded = replay([w.encode("utf-8", "replace") for w in new], self.ranks)
+        self.known.update(zip(new, [array("i", ids).tobytes() for ids in coded]))
         get = self.known.__getitem__
-        return [array("i", chain.from_iterable(map(get, p))) for p in pieces]
+        return [b"".join(map(get, p)) for p in pieces]
+
+
+#: A worker process keeps its encoder from one task to the next.
+_encoders: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(shared, digest: str, pattern: str, cache_words: int) -> Encoder:
+    key = (digest, pattern, cache_words)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(shared.value, pattern, cache_words)
+    return _encoders[key]
 
 
 def _parts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -190,27 +205,27 @@ def _without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
-def bpe_encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, cache_words: int = 300_000, block_bytes: int = 2_000_000, keep_text: bool = True) -> DataFrame:
+def bpe_encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, cache_words: int = 800_000, block_bytes: int = 2_000_000, keep_text: bool = True) -> DataFrame:
     """docs with ``ids array<int>``; without ``text`` if keep_text is False.
 
     The vocabulary is the one thing broadcast: its size is that of the rank file and independent of the corpus.
     """
-    shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    ranks = load_ranks(ranks_path)
+    shared, digest = spark.sparkContext.broadcast(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     kept = _without(docs, "ids") if keep_text else _without(docs, "ids", "text")
     names = [*kept.columns, "ids"]
     rows = _without(docs, "ids", "__text").withColumn("__text", F.col("text").cast("binary")).select(*[F.col(f"`{c}`") for c in kept.columns], "__text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["ids array<int>"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern, cache_words)
+        encoder = worker_encoder(shared, digest, pattern, cache_words)
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            sizes = [len(x) if x is not None else 0 for x in texts.to_pylist()] if b.num_rows else []
+            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for i, j in _parts(sizes, block_bytes):
                 got = encoder.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in texts.slice(i, j - i)])
-                ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
-                flat = np.concatenate([np.frombuffer(g, dtype=np.int32) for g in got]) if ends[-1] else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                ends = np.cumsum([0, *[len(g) // 4 for g in got]], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)], ids], names)
 
     return rows.mapInArrow(work, schema)
@@ -227,10 +242,10 @@ def bpe_decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, block_i
         texts = {r: t for t, r in shared.value.items()}
         for b in batches:
             col = b.column(at)
-            counts = [n or 0 for n in pa.compute.list_value_length(col).to_pylist()] if b.num_rows else []
+            counts = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_pylist()
             for i, j in _parts(counts, block_ids):
                 own = col.slice(i, j - i)
-                words = list(map(texts.__getitem__, own.flatten().to_pylist()))
+                words = list(map(texts.__getitem__, own.flatten().to_numpy(zero_copy_only=False).tolist()))
                 out, k = [], 0
                 for n, valid in zip(counts[i:j], own.is_valid().to_pylist()):
                     out.append(b"".join(words[k : k + n]) if valid else None)

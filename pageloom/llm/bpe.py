@@ -38,6 +38,9 @@ LATER = """
 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
 
+#: Words replayed together; more of them no longer fit in a core's cache.
+BLOCK_WORDS = 1000
+
 
 def splitter(pattern: str):
     """A function that cuts a text as the tokenizer library cuts it: ``LATER`` are neither letters nor numbers."""
@@ -63,84 +66,74 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary(dict):
-    """Ranks by token, with the tokens by rank in ``texts``."""
+    """Ranks by token; ``pairs`` has the rank of each two tokens that together are one. All 256 bytes must be tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__(ranks)
-        self.texts = {r: t for t, r in ranks.items()}
-
-
-def replay(words: Iterable[bytes], ranks: Vocabulary) -> list[tuple[int, ...]]:
-    """The ids of each word."""
-    words = list(words)
-    out: list[tuple[int, ...] | None] = []
-    ids: list[int] = []
-    word_of: list[int] = []
-    texts = ranks.texts
-    nxt: list[int] = []
-    prv: list[int] = []
-    index: dict[int, list[int]] = {}
-    first: dict[int, int] = {}
-    of = ranks.get
-    for n, w in enumerate(words):
-        whole = of(w)
-        if whole is not None:
-            out.append((whole,))
-            continue
-        out.append(None)
-        if not w:
-            out[n] = ()
-            continue
-        at = len(ids)
-        first[n] = at
-        ids += [ranks[w[i : i + 1]] for i in range(len(w))]
-        word_of += [n] * len(w)
-        nxt += range(at + 1, at + len(w) + 1)
-        nxt[-1] = -1
-        prv += range(at - 1, at + len(w) - 1)
-        prv[at] = -1
-        for i in range(len(w) - 1):
-            r = of(w[i : i + 2])
-            if r is not None:
-                index.setdefault(r, []).append(at + i)
-    known: dict[int, int | None] = {}
-    waiting = sorted(index)
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = rank
+        self.byte_ids = np.array([ranks[bytes([c])] for c in range(256)], np.int64)
+        self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+
+
+def replay(words: Iterable[bytes], ranks: Vocabulary) -> list[bytes]:
+    """The ids of each word, as the bytes of int32 numbers."""
+    out = [b"" if n is None else array("i", (n,)).tobytes() for n in map(ranks.get, words)]
+    todo = [n for n, w in enumerate(words) if not out[n] and w]
+    if not todo:
+        return out
+    raw = np.frombuffer(b"".join([words[n] for n in todo]), np.uint8)
+    sizes = np.array([len(words[n]) for n in todo])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    word_of = np.repeat(np.arange(len(todo)), sizes).tolist()
+    after, before = np.arange(1, len(raw) + 1), np.arange(-1, len(raw) - 1)
+    after[ends - 1] = -1
+    before[starts] = -1
+    pair = np.full(len(raw), -1)
+    pair[:-1] = ranks.byte_pairs[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+    pair[ends - 1] = -1
+    spots = np.flatnonzero(pair >= 0)
+    spots = spots[np.argsort(pair[spots], kind="stable")]
+    waiting, at = np.unique(pair[spots], return_index=True)
+    waiting = waiting.tolist()  # sorted, so a heap
+    index = {r: x.tolist() for r, x in zip(waiting, np.split(spots, at[1:]))}
+    ids, nxt, prv, now = ranks.byte_ids[raw].tolist(), after.tolist(), before.tolist(), pair.tolist()
+    of = ranks.pairs.get
     while waiting:
         r = heappop(waiting)
-        held = -1
-        again: list[int] = []
+        held, again = -1, []
         for p in sorted(index.pop(r)):
+            if now[p] != r:  # merged meanwhile
+                continue
             if word_of[p] == held:
                 again.append(p)
                 continue
             j = nxt[p]
-            if j < 0 or ids[p] < 0:
-                continue
-            key = ids[p] << 32 | ids[j]
-            now = known.get(key, -1)
-            if now == -1:
-                now = known[key] = of(texts[ids[p]] + texts[ids[j]])
-            if now != r:
-                continue
             ids[p] = r
-            ids[j] = -1
+            ids[j] = now[j] = -1
             k = nxt[p] = nxt[j]
+            new = -1
             if k >= 0:
                 prv[k] = p
-            for x, y in ((prv[p], p), (p, k)):
-                if x < 0 or y < 0:
-                    continue
-                key = ids[x] << 32 | ids[y]
-                new = known.get(key, -1)
-                if new == -1:
-                    new = known[key] = of(texts[ids[x]] + texts[ids[y]])
-                if new is not None:
-                    if new in index:
-                        index[new].append(x)
+                new = of(r << 32 | ids[k], -1)
+            now[p] = new
+            x = prv[p]
+            left = -1
+            if x >= 0:
+                left = now[x] = of(ids[x] << 32 | r, -1)
+            for rank, y in ((left, x), (new, p)):
+                if rank >= 0:
+                    if rank in index:
+                        index[rank].append(y)
                     else:
-                        index[new] = [x]
-                        heappush(waiting, new)
-                    if new < r:
+                        index[rank] = [y]
+                        heappush(waiting, rank)
+                    if rank < r:
                         held = word_of[p]
         if again:
             if r in index:
@@ -148,12 +141,12 @@ def replay(words: Iterable[bytes], ranks: Vocabulary) -> list[tuple[int, ...]]:
             else:
                 index[r] = again
                 heappush(waiting, r)
-    for n, at in first.items():
-        got = []
-        while at >= 0:
-            got.append(ids[at])
-            at = nxt[at]
-        out[n] = tuple(got)
+    last = np.array(ids)
+    alive = last >= 0
+    packed = last[alive].astype(np.int32).tobytes()
+    stop = (4 * np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64))).tolist()
+    for n, s, e in zip(todo, [0, *stop], stop):
+        out[n] = packed[s:e]
     return out
 
 
@@ -165,14 +158,15 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the new words of all of them are replayed as one block."""
+        """The ids of each text; their new words are replayed in blocks."""
         pieces = [self.split(t) for t in texts]
         seen = set(chain.from_iterable(pieces))
         new = list(seen - self.known.keys())
         if len(self.known) + len(new) > self.limit:
             self.known = {w: self.known[w] for w in seen if w in self.known}
-        coded = replay([w.encode("utf-8", "replace") for w in new], self.ranks)
-        self.known.update(zip(new, [array("i", ids).tobytes() for ids in coded]))
+        for i in range(0, len(new), BLOCK_WORDS):
+            some = new[i : i + BLOCK_WORDS]
+            self.known.update(zip(some, replay([w.encode("utf-8", "replace") for w in some], self.ranks)))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 

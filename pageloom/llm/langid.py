@@ -75,8 +75,8 @@ def cut(text: bytes, width: int) -> bytes:
     return text.lower().ljust(max(1, -(-len(text) // width)) * width, b"\0")
 
 
-def train(windows: list[bytes], langs: list[str], width: int = 256, d: int = 8, per_size: int = 8, epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCNN:
-    """Fit by Adam on cross-entropy; half of the windows are shortened at random, as short texts are."""
+def train(windows: list[bytes], langs: list[str], width: int = 256, d: int = 8, per_size: int = 8, epochs: int = 5, least_steps: int = 800, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCNN:
+    """Fit by Adam on cross-entropy; half of the windows are shortened at random, as short texts are. Few windows are gone over more often."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
@@ -90,7 +90,7 @@ def train(windows: list[bytes], langs: list[str], width: int = 256, d: int = 8,
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     mean, var, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, least_steps * batch // len(x))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             own = order[at : at + batch]

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
 
 
@@ -40,7 +41,13 @@ class Stash:
     def __init__(self, spark: SparkSession, df: DataFrame, tag: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/pageloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        # The files of this query's shuffles serve nothing else: they go when the table is written.
+        before = spark.conf.get(_CLEAN, None)
+        spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
 

@@ -6,7 +6,7 @@ at its positions from left to right, and looks again only at the two neighbours
 makes a pair of a lower rank, the rest of that word waits until that pair is done, so each word sees
 its merges in the order that an encoder of single words would take. A word that is itself a token stays whole.
 
-Words repeat, so a worker keeps up to ``cache_words`` of them encoded and starts anew beyond that;
+Words repeat, so a worker keeps about ``cache_words`` of them encoded, those lately in use;
 memory does not grow with the corpus. No shuffle: documents are independent.
 
 Null or empty text gives an empty list of ids, and decodes to no bytes. Bytes that are not UTF-8
@@ -101,7 +101,8 @@ def replay(words: Iterable[bytes], ranks: Vocabulary) -> list[bytes]:
     spots = spots[np.argsort(pair[spots], kind="stable")]
     waiting, at = np.unique(pair[spots], return_index=True)
     waiting = waiting.tolist()  # sorted, so a heap
-    index = {r: x.tolist() for r, x in zip(waiting, np.split(spots, at[1:]))}
+    at, spots = at.tolist(), spots.tolist()
+    index = {r: spots[i:j] for r, i, j in zip(waiting, at, [*at[1:], len(spots)])}
     ids, nxt, prv, now = ranks.byte_ids[raw].tolist(), after.tolist(), before.tolist(), pair.tolist()
     of = ranks.pairs.get
     while waiting:
@@ -117,23 +118,29 @@ def replay(words: Iterable[bytes], ranks: Vocabulary) -> list[bytes]:
             ids[p] = r
             ids[j] = now[j] = -1
             k = nxt[p] = nxt[j]
-            new = -1
             if k >= 0:
                 prv[k] = p
-                new = of(r << 32 | ids[k], -1)
-            now[p] = new
+                new = now[p] = of(r << 32 | ids[k], -1)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(p)
+                    else:
+                        index[new] = [p]
+                        heappush(waiting, new)
+                    if new < r:
+                        held = word_of[p]
+            else:
+                now[p] = -1
             x = prv[p]
-            left = -1
             if x >= 0:
-                left = now[x] = of(ids[x] << 32 | r, -1)
-            for rank, y in ((left, x), (new, p)):
-                if rank >= 0:
-                    if rank in index:
-                        index[rank].append(y)
+                new = now[x] = of(ids[x] << 32 | r, -1)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(x)
                     else:
-                        index[rank] = [y]
-                        heappush(waiting, rank)
-                    if rank < r:
+                        index[new] = [x]
+                        heappush(waiting, new)
+                    if new < r:
                         held = word_of[p]
         if again:
             if r in index:
@@ -151,23 +158,32 @@ def replay(words: Iterable[bytes], ranks: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of words seen, each as the bytes of its int32 ids."""
+    """Encodes texts; keeps the ids of words seen, each as the bytes of its int32 ids.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = 800_000):
-        self.ranks, self.split, self.limit = Vocabulary(ranks), splitter(pattern), cache_words
-        self.known: dict[str, bytes] = {}
+    Words in use move to the young half of the cache; what was not used while that filled up is dropped.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = 400_000):
+        self.ranks, self.split, self.limit = Vocabulary(ranks), splitter(pattern), cache_words // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; their new words are replayed in blocks."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
         pieces = [self.split(t) for t in texts]
-        seen = set(chain.from_iterable(pieces))
-        new = list(seen - self.known.keys())
-        if len(self.known) + len(new) > self.limit:
-            self.known = {w: self.known[w] for w in seen if w in self.known}
+        new = []
+        for w in set(chain.from_iterable(pieces)) - self.young.keys():
+            got = self.old.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                self.young[w] = got
         for i in range(0, len(new), BLOCK_WORDS):
             some = new[i : i + BLOCK_WORDS]
-            self.known.update(zip(some, replay([w.encode("utf-8", "replace") for w in some], self.ranks)))
-        get = self.known.__getitem__
+            self.young.update(zip(some, replay([w.encode("utf-8", "replace") for w in some], self.ranks)))
+        get = self.young.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
 
@@ -199,7 +215,7 @@ def _without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
-def bpe_encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, cache_words: int = 800_000, block_bytes: int = 2_000_000, keep_text: bool = True) -> DataFrame:
+def bpe_encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, cache_words: int = 400_000, block_bytes: int = 1_000_000, keep_text: bool = True) -> DataFrame:
     """docs with ``ids array<int>``; without ``text`` if keep_text is False.
 
     The vocabulary is the one thing broadcast: its size is that of the rank file and independent of the corpus.

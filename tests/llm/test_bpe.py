@@ -40,6 +40,15 @@ def test_random_words(own):
         assert ids_of(encoder, text) == theirs.encode_ordinary(text)
 
 
+def test_white_space_and_small_cache(own):
+    rnd = random.Random(4)
+    encoder = Encoder(load_ranks(PATH), P.PATTERN, 40)
+    bits = [" ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", " \u00a0", "\u2003", "\x1c", "\x85", "\ue001", "'s", "a", "Zo", "é1", "12", "!", "?!", "\u200b"]
+    for _ in range(1500):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 9)))
+        assert ids_of(encoder, text) == own[1].encode_ordinary(text), repr(text)
+
+
 def test_table(spark, own):
     texts = [None, "", "Ündie the cats.", "Ündie the cats.", "x" * 100000, "<|endoftext|> ok"]
     df = spark.createDataFrame([(i, t, "clash", "c2") for i, t in enumerate(texts)], "doc_id long, text string, ids string, decoded string")

@@ -28,6 +28,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Code points (hexadecimal, ranges inclusive) that the ``regex`` library already counts as letters or
 #: numbers and the tokenizer library does not yet, as they came with later editions of Unicode.
 LATER = """
@@ -163,7 +165,7 @@ class Encoder:
     Words in use move to the young half of the cache; what was not used while that filled up is dropped.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = 300_000):
         self.ranks, self.split, self.limit = Vocabulary(ranks), splitter(pattern), cache_words // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -215,11 +217,12 @@ def _without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
-def bpe_encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, cache_words: int = 400_000, block_bytes: int = 1_000_000, keep_text: bool = True) -> DataFrame:
+def bpe_encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, cache_words: int = 300_000, block_bytes: int = 1_000_000, keep_text: bool = True) -> DataFrame:
     """docs with ``ids array<int>``; without ``text`` if keep_text is False.
 
     The vocabulary is the one thing broadcast: its size is that of the rank file and independent of the corpus.
     """
+    bounded_batches(spark)
     ranks = load_ranks(ranks_path)
     shared, digest = spark.sparkContext.broadcast(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     kept = _without(docs, "ids") if keep_text else _without(docs, "ids", "text")
@@ -243,6 +246,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: s
 
 def bpe_decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, block_ids: int = 1_000_000) -> DataFrame:
     """encoded (with ``ids``) with ``decoded binary``; null ids give null, an id outside the ranks fails the job."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
     kept = _without(encoded, "decoded")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["decoded binary"])

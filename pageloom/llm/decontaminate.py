@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Bytes to bytes: A-Z to a-z, ASCII that is neither letter nor digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -142,6 +144,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, block_bytes: int = 4_000_000, keep_text: bool = True) -> DataFrame:
     """docs with n_words long, hit_spans array<struct<start, end>> in words, items array<string>, sorted."""
+    bounded_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

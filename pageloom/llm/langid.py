@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
 
@@ -125,6 +127,7 @@ def train(windows: list[bytes], langs: list[str], width: int = 256, d: int = 8,
 
 def fit_language_id(labelled: DataFrame, key: str = "doc_id", docs_per_lang: int = 600, windows_per_doc: int = 3, max_langs: int = 200, width: int = 256) -> ByteCNN | None:
     """The network of the rows (text, lang, key) of labelled; None where there is nothing to learn."""
+    bounded_batches(labelled.sparkSession)
     known = labelled.where("lang IS NOT NULL")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
@@ -150,6 +153,7 @@ def fit_language_id(labelled: DataFrame, key: str = "doc_id", docs_per_lang: int
 
 def identify(docs: DataFrame, model: ByteCNN | None, block_bytes: int = 1 << 20) -> DataFrame:
     """docs with lang_pred string and score double."""
+    bounded_batches(docs.sparkSession)
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "__text")])
     names = [*kept.columns, "lang_pred", "score"]
     rows = kept.withColumn("__text", F.col("text").cast("binary"))

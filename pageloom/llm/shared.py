@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Hand Python at most so many rows and about so many MB of text at once; a session that has lower limits keeps them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
+        now = int(str(spark.conf.get(key, "0")).rstrip("bB") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

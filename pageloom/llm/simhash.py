@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, stash
+from .shared import bounded_batches, components, stash
 
 SEED = 42
 
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), k) for t in b.column(3)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fp)], ["doc_id", "th1", "th2", "fp"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("doc_id", "text").alias("th1"),

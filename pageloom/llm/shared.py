@@ -31,10 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     """Hand Python at most so many rows and about so many MB of text at once; a session that has lower limits keeps them."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
-        now = int(str(spark.conf.get(key, "0")).rstrip("bB") or 0)
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
+    records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(records, "0"))
+    if now <= 0 or now > rows:
+        spark.conf.set(records, str(rows))
+    if spark.conf.get(size, "67108864b") == "67108864b":  # Spark's default
+        spark.conf.set(size, f"{mb}m")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
 
 
@@ -46,18 +46,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Stash:
-    """A table written to the shared folder; ``df`` reads it, ``drop`` deletes it."""
+    """A table written to the shared folder; ``df`` reads it, ``drop`` deletes it.
 
-    def __init__(self, spark: SparkSession, df: DataFrame, tag: str):
+    ``free``: let Spark's cleaner see now that the shuffle files behind df are no longer wanted; it hears of them by garbage
+    collection only, which a driver with little to do may put off for half an hour.
+    """
+
+    def __init__(self, spark: SparkSession, df: DataFrame, tag: str, free: bool = False):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/pageloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-        # The files of this query's shuffles serve nothing else: they go when the table is written.
-        before = spark.conf.get(_CLEAN, None)
-        spark.conf.set(_CLEAN, "true")
-        try:
-            df.write.option("compression", "zstd").parquet(self.path)
-        finally:
-            spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+        df.write.option("compression", "zstd").parquet(self.path)
+        if free:
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
         self.df = spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
 
@@ -67,9 +68,9 @@ class Stash:
             _delete(self.spark, self.path)
 
 
-def stash(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def stash(spark: SparkSession, df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """df, written and read again; deleted at exit."""
-    return Stash(spark, df, tag).df
+    return Stash(spark, df, tag, free).df
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

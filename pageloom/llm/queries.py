@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lines, lmscore, pq, sharding, simhash
+from . import bpe, chat, decontaminate, langid, lines, lmscore, pq, secrets, sharding, simhash
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(spark, docs, *lmscore.fit(spark, docs)).drop("text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = secrets.find_secrets(spark, docs, secrets.example_forest(spark))
+    return found.select("doc_id", "word", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.round("score", 9).alias("score"), "is_secret")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return sharding.shard_by_size(spark, docs, shards=8).select(
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_secret_scan": op4_secret_scan,
     "op5_sharding": op5_sharding,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_decontamination": op7_decontamination,

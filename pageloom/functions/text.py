@@ -37,9 +37,10 @@ def word_tokens(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """word_tokens; a token that mixes letters and digits also gives its runs: fy2018 -> fy2018, fy, 2018."""
-    mixed = lambda w: w.rlike("[a-z]") & w.rlike("[0-9]")
+    mixed = lambda w: w.rlike("[0-9]") & w.rlike("[a-z]")  # noqa: E731  few tokens have a digit
     runs = lambda w: F.regexp_extract_all(w, F.lit("[a-z]+|[0-9]+"), F.lit(0))
-    return F.flatten(F.transform(word_tokens(text), lambda w: F.when(mixed(w), F.concat(F.array(w), runs(w))).otherwise(F.array(w))))
+    split = F.flatten(F.transform(word_tokens(text), lambda w: F.when(mixed(w), F.concat(F.array(w), runs(w))).otherwise(F.array(w))))
+    return F.when(text.rlike("[0-9]"), split).otherwise(word_tokens(text))
 
 
 def distinct_grams(tokens: Column, n: int = 3) -> Column:
@@ -77,9 +78,8 @@ def parse_number(text: Column) -> Column:
     bare = F.replace(text, F.lit(","), F.lit(""))
     digits, scale, whole = (F.regexp_extract(bare, _NUMBER, g) for g in (1, 2, 0))
     start = F.regexp_instr(bare, F.lit(_NUMBER))
-    factor = F.lit(1.0)
-    for word, by in SCALES.items():
-        factor = F.when(F.lower(scale) == word, F.lit(by)).otherwise(factor)
+    table = F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair])
+    factor = F.coalesce(F.try_element_at(table, F.lower(scale)), F.lit(1.0))  # the pattern runs once, not once a word
     value = digits.cast("double") * factor
     before, after = F.substring(text, F.lit(1), start), F.substring(text, start + F.length(whole) - 1, F.length(text) + 1)
     value = F.when(F.contains(before, F.lit("(")) & F.contains(after, F.lit(")")), -F.abs(value)).otherwise(value)
@@ -89,9 +89,10 @@ def parse_number(text: Column) -> Column:
 def numeric_match(gold: Column, answer: Column, tolerance: float = 0.01) -> Column:
     """Null if gold has no number; else whether some number of the answer is within the tolerance."""
     want = parse_number(gold)
-    near = lambda t: F.abs(parse_number(t) - want) <= F.greatest(tolerance * F.abs(want), F.lit(1e-6))
-    hit = F.exists(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(_NUMBERS), F.lit(1)), lambda t: F.coalesce(near(t), F.lit(False)))
-    return F.when(want.isNotNull(), hit)
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(_NUMBERS), F.lit(1)), lambda t: parse_number(t))
+    # Beside each number stands the wanted one: inside a lambda it would be parsed anew for each.
+    near = F.zip_with(numbers, F.array_repeat(want, F.size(numbers)), lambda n, w: F.coalesce(F.abs(n - w) <= F.greatest(tolerance * F.abs(w), F.lit(1e-6)), F.lit(False)))
+    return F.when(want.isNotNull(), F.exists(near, lambda x: x))
 
 
 def context_block(contexts: Column) -> Column:

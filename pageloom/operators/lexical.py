@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import search_tokens
 
 K1, B, MAX_TF = 1.5, 0.75, 65535
+BROADCAST_TERMS = 500_000
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -40,10 +41,15 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, query_key: str = "query_i
     asked = query_terms(queries, query_key)
     tokens = chunks.select(key, search_tokens(F.col("text")).alias("t"))
     rows = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # Dealt by chunk once: counts by (chunk, term) and the sums by (query, chunk) below need no further exchange where the terms are few enough to broadcast.
+    rows = rows.repartition(key)
     index = rows.groupBy(key, "dl", "term").agg(F.least(F.count(F.lit(1)), F.lit(MAX_TF)).alias("tf"))
     stats = corpus_stats(chunks)
+    # The queries' terms bound both tables beside the index; few enough of them are broadcast, so that the index stays where it is.
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    beside = F.broadcast if few else (lambda df: df)
     terms = term_stats(index, stats)
-    found = index.join(terms, "term").join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    found = index.join(beside(terms), "term").join(beside(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return found.groupBy(query_key, key).agg(F.sum(part).alias("score"))

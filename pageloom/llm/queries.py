@@ -92,7 +92,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    left = lines.line_dedup(spark, docs, keep_emptied=True)
+    left = lines.line_dedup(spark, docs, min_tokens=1, keep_emptied=True)
     return left.select("doc_id", F.length("text").cast("long").alias("chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

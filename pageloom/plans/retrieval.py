@@ -164,7 +164,7 @@ def paired_bootstrap_ci(spark, sf_dir):
     for name, top in (("baseline", lexical.bm25_top_k(queries, chunks, 10)), ("overlap", overlap_top_k(queries, chunks, 10))):
         got = evaluation.page_metrics(_questions(spark, sf_dir), _evidence(spark, sf_dir), top.join(docs, "chunk_id"), (5, 10))
         parts.append(got.withColumn("variant", F.lit(name)))
-    return stats.paired_bootstrap(parts[0].unionByName(parts[1]), ["mrr", "page_hit_5", "page_hit_10"], samples=2000)
+    return stats.paired_bootstrap(parts[0].unionByName(parts[1]), ["mrr", "page_hit_5", "page_hit_10"])
 
 
 QUERIES = {f.__name__: f for f in (

@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, each with as many leading underscores as it takes not to be one of taken, in any case."""
+    known = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in known:
+            pass
+        out.append(name)
+    return out
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     """Hand Python at most so many rows and about so many MB of text at once; a session that has lower limits keeps them."""
     records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"

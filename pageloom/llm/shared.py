@@ -1,33 +1,13 @@
-"""What several operators need: tables in the shared folder, connected components, block splits.
-
-Shared folder: the session's ``spark.checkpoint.dir``. Only where that is unset (tests) a local
-folder is made. Tables written there cut lineage, and outlive the loss of an executor.
-"""
+"""What several operators need beside stored tables: batches, free names, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="pageloom-")
-    return _own_dir[app]
+from pageloom.store import Stash, stash
 
+__all__ = ["Stash", "bounded_batches", "components", "fresh", "stash"]
 
 def fresh(taken: list[str], *names: str) -> list[str]:
     """names, each with as many leading underscores as it takes not to be one of taken, in any case."""
@@ -50,40 +30,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None
         spark.conf.set(size, f"{mb}m")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Stash:
-    """A table written to the shared folder; ``df`` reads it, ``drop`` deletes it.
-
-    ``free``: let Spark's cleaner see now that the shuffle files behind df are no longer wanted; it hears of them by garbage
-    collection only, which a driver with little to do may put off for half an hour.
-    """
-
-    def __init__(self, spark: SparkSession, df: DataFrame, tag: str, free: bool = False):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/pageloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        if free:
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(self.drop)
-
-    def drop(self) -> None:
-        """Call only when no plan that reads the table will run again. Called again at exit."""
-        with contextlib.suppress(Exception):  # the session may be gone
-            _delete(self.spark, self.path)
-
-
-def stash(spark: SparkSession, df: DataFrame, tag: str, free: bool = False) -> DataFrame:
-    """df, written and read again; deleted at exit."""
-    return Stash(spark, df, tag, free).df
-
-
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components: edges(a long, b long) -> (v long, root long), root the smallest vertex.
 

@@ -12,7 +12,8 @@ SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12, "k"
 #: Patterns of numbers in questions and answers.
 _NUMBER = r"(?i)\(?\$?\s*(-?\d+(?:\.\d+)?)\s*(thousand|million|billion|trillion|bn|k|m|b)?"
 _NUMBERS = r"(?i)(\(?\$?\s*-?\d[\d,]*(?:\.\d+)?\s*(?:thousand|million|billion|trillion|bn|k|m|b)?)"
-REFUSAL = "I could not find this in the provided documents."
+#: Fixed value: the sentence that an answer must hold to count as a refusal.
+REFUSAL = "I cannot answer from the provided context."
 
 
 def utrim(c: Column) -> Column:
@@ -43,6 +44,15 @@ def search_tokens(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), split).otherwise(word_tokens(text))
 
 
+def search_bag(text: Column) -> Column:
+    """The tokens of search_tokens in another order: the runs of mixed tokens at the end. Only mixed tokens meet a lambda."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    mixed = F.regexp_extract_all(low, F.lit("[a-z0-9]*(?:[a-z][0-9]|[0-9][a-z])[a-z0-9]*"), F.lit(0))
+    runs = F.flatten(F.transform(mixed, lambda w: F.regexp_extract_all(w, F.lit("[a-z]+|[0-9]+"), F.lit(0))))
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(text.rlike("[0-9]"), F.concat(words, runs)).otherwise(words)
+
+
 def distinct_grams(tokens: Column, n: int = 3) -> Column:
     """Distinct runs of n tokens; fewer tokens than n make one gram, none makes none. tokens: a column, not an expression, which each gram would compute anew."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))

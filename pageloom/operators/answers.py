@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import REFUSAL, citations, context_block, is_refusal, numeric_match, verdict_of
+from pageloom.store import stash
+
+from .evaluation import gold_pages
 
 INSTRUCTIONS = f"Answer from the numbered passages alone and cite them as [n]. If they do not hold the answer, say: {REFUSAL}"
 
@@ -35,8 +38,11 @@ def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, question, contexts, prompt): hits in rank order, numbered from 1."""
     per = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_name", "page_number", "chunk_id", "score", "text"))).alias("contexts"))
     rows = questions.select("query_id", "question").join(per, "query_id", "left")
-    prompt = F.concat(F.lit(INSTRUCTIONS + "\n\n"), F.coalesce(context_block(F.col("contexts")), F.lit("")), F.lit("\n\nQuestion: "), F.col("question"))
-    return rows.withColumn("prompt", prompt)
+    return rows.withColumn("prompt", _prompt(F.col("contexts"), F.col("question")))
+
+
+def _prompt(contexts: Column, question: Column) -> Column:
+    return F.concat(F.lit(INSTRUCTIONS + "\n\n"), F.coalesce(context_block(contexts), F.lit("")), F.lit("\n\nQuestion: "), question)
 
 
 def generate(rows: DataFrame, make_provider: Callable[[], Provider] = Extractive) -> DataFrame:
@@ -55,6 +61,40 @@ def generate(rows: DataFrame, make_provider: Callable[[], Provider] = Extractive
     return rows.select("query_id", "prompt").mapInPandas(work, f"query_id {kind}, answer string, error string")
 
 
+def with_answers(asked: DataFrame, make_provider: Callable[[], Provider] = Extractive) -> DataFrame:
+    """asked(query_id, question, contexts, prompt) with answer, error, cited and refused. asked is written first, so that the search behind it runs once."""
+    asked = stash(asked.sparkSession, asked, "asked")
+    out = asked.join(generate(asked, make_provider), "query_id", "left")
+    return out.withColumns({"cited": citations(F.col("answer")), "refused": is_refusal(F.col("answer"))})
+
+
+def answer_run(questions: DataFrame, evidence: DataFrame, hits: DataFrame, make_provider: Callable[[], Provider] = Extractive, done: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The record of a run: a row for each of questions(query_id, question_type, doc_name, question, gold_answer), resumable by ``done``(query_id).
+
+    ``limit`` takes the first questions by query_id, as a trial does. doc_hit compares the contexts with the question's own document.
+    """
+    if limit is not None:
+        questions = questions.orderBy("query_id").limit(limit)
+    if done is not None:
+        questions = questions.join(done.select("query_id"), "query_id", "left_anti")
+    page = F.struct("doc_name", "page_number")
+    gold = gold_pages(evidence).groupBy("query_id").agg(F.sort_array(F.collect_set(page)).alias("gold_pages"))
+    rows = with_answers(prompts(questions, hits), make_provider).drop("question").join(questions, "query_id").join(gold, "query_id", "left")
+    rows = rows.withColumn("gold_pages", F.coalesce("gold_pages", F.array().cast("array<struct<doc_name:string,page_number:int>>")))
+    rows = rows.withColumn("contexts", F.coalesce("contexts", F.array().cast(rows.schema["contexts"].dataType)))
+    out = answered(rows).withColumn("doc_hit", F.coalesce(F.exists("contexts", lambda c: c["doc_name"] == F.col("doc_name")), F.lit(False)))
+    return out.select("query_id", "question_type", "doc_name", "question", "gold_answer", "gold_pages", "answer", "error", "cited", "refused", "page_hit", "first_hit_rank", "doc_hit", "cited_pages_valid", "contexts")
+
+
+def regenerated(run: DataFrame, make_provider: Callable[[], Provider], page_hit_only: bool = False) -> DataFrame:
+    """Another generator's answers to a run's questions from the contexts that the run kept; with page_hit_only just where a gold page was found."""
+    rows = run.where("page_hit") if page_hit_only else run
+    asked = rows.select("query_id", "question", "contexts", _prompt(F.col("contexts"), F.col("question")).alias("prompt"))
+    made = with_answers(asked, make_provider).select("query_id", "answer", "error", "cited", "refused")
+    out = rows.drop("answer", "error", "cited", "refused", "cited_pages_valid").join(made, "query_id")
+    return out.withColumn("cited_pages_valid", F.coalesce(cited_valid(F.col("cited"), F.col("contexts"), F.col("gold_pages")), F.lit(False))).select(run.columns)
+
+
 def cited_valid(cited: Column, contexts: Column, gold: Column) -> Column:
     """Whether some cited number within 1..len(contexts) stands at a gold page; gold is array<struct<doc_name, page_number>>."""
     at = lambda i: F.get(contexts, i - 1)

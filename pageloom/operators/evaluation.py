@@ -81,6 +81,22 @@ def evidence_metrics(questions: DataFrame, evidence: DataFrame, hits: DataFrame,
     return every.join(per, ["query_id", "k"], "left").fillna(0.0, ["token_recall", "gram_recall"]).fillna(0, ["any_hit", "all_hit"])
 
 
+def comparison(questions: DataFrame, evidence: DataFrame, found: dict[str, DataFrame], ks: tuple[int, ...] = K_LIST) -> DataFrame:
+    """A row for each configuration of found (name -> hits): means of page hit, evidence hit, token and gram recall at each k."""
+    parts = []
+    for name, hits in found.items():
+        pages = page_metrics(questions, evidence, hits, ks).agg(*[F.avg(f"page_hit_{k}").alias(f"page_hit_{k}") for k in ks])
+        at = lambda k, c: F.avg(F.when(F.col("k") == k, F.col(c)))
+        spans = evidence_metrics(questions, evidence, hits, ks).agg(
+            *[at(k, c).alias(f"{n}_{k}") for k in ks for c, n in (("any_hit", "evidence_hit"), ("token_recall", "token_recall"), ("gram_recall", "gram_recall"))]
+        )
+        parts.append(pages.crossJoin(F.broadcast(spans)).select(F.lit(name).alias("configuration"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def summary(details: DataFrame, metrics: list[str], group: str = "question_type") -> DataFrame:
     """Means over all rows and for each group, in one aggregation."""
     label = F.when(F.grouping(group) == 1, F.lit("overall")).otherwise(F.col(group)).alias("label")

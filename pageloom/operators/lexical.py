@@ -1,31 +1,48 @@
-"""BM25: index tables and exact top-k."""
+"""BM25: an index of tables that can be saved, read again and extended, and exact top-k over it.
+
+An index is three tables: ``chunks`` (key, dl and what else the chunks have), ``terms`` (term, df) and ``counts`` (key, dl, terms), which has a row
+for each chunk with its distinct terms and how often each occurs. Counts are settled within a chunk's row, so building needs no shuffle but that of df.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import search_tokens
+from pageloom.functions.text import search_bag, search_tokens
+from pageloom.store import exists, stash
 
 K1, B, MAX_TF = 1.5, 0.75, 65535
 BROADCAST_TERMS = 500_000
 
 
+def term_counts(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, dl, terms array<struct<term, tf>>) of each chunk; dl counts all tokens, sub-runs of mixed ones too. No shuffle."""
+    rows = chunks.select(key, F.explode(F.array(F.sort_array(search_bag(F.col("text"))))).alias("t"))  # a generator: lambdas below read a column
+    ends = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: ~F.equal_null(F.get("t", i - 1), F.get("t", i)))
+    rows = rows.select(key, "t", F.explode(F.array(F.when(F.size("t") > 0, ends).otherwise(F.array().cast("array<int>")))).alias("ends"))
+    tf = lambda e, j: F.least(e - F.coalesce(F.get("ends", j - 1), F.lit(0)), F.lit(MAX_TF))
+    return rows.select(key, F.size("t").alias("dl"), F.transform("ends", lambda e, j: F.struct(F.get("t", e - 1).alias("term"), tf(e, j).alias("tf"))).alias("terms"))
+
+
+def _entries(counts: DataFrame, key: str) -> DataFrame:
+    return counts.select(key, "dl", F.explode("terms").alias("e")).select("e.term", key, "e.tf", "dl")
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(term, key, tf, dl): dl counts all tokens of the chunk, sub-runs too."""
-    tokens = chunks.select(key, search_tokens(F.col("text")).alias("t"))
-    rows = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy(key, "dl", "term").agg(F.least(F.count(F.lit(1)), F.lit(MAX_TF)).cast("int").alias("tf")).select("term", key, "tf", "dl")
+    return _entries(term_counts(chunks, key), key)
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
+def corpus_stats(counts: DataFrame) -> DataFrame:
     """One row (n, avgdl); chunks without a token count."""
-    return chunks.select(F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(index: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf); idf is positive for every df."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of df(term, df); idf is positive for every df."""
     return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
@@ -33,26 +50,61 @@ def query_terms(queries: DataFrame, query_key: str = "query_id") -> DataFrame:
     return queries.select(query_key, F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """(query, key, score) of each chunk that shares a term with the query.
-
-    Only terms that some query has are exploded beyond the scan: the join with the queries' terms stands below all aggregates.
-    """
-    asked = query_terms(queries, query_key)
-    tokens = chunks.select(key, search_tokens(F.col("text")).alias("t"))
-    rows = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    # Dealt by chunk once: counts by (chunk, term) and the sums by (query, chunk) below need no further exchange where the terms are few enough to broadcast.
-    rows = rows.repartition(key)
-    index = rows.groupBy(key, "dl", "term").agg(F.least(F.count(F.lit(1)), F.lit(MAX_TF)).alias("tf"))
-    stats = corpus_stats(chunks)
-    # The queries' terms bound both tables beside the index; few enough of them are broadcast, so that the index stays where it is.
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    beside = F.broadcast if few else (lambda df: df)
-    terms = term_stats(index, stats)
-    found = index.join(beside(terms), "term").join(beside(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+@dataclass
+class LexicalIndex:
+    counts: DataFrame
+    terms: DataFrame
+    chunks: DataFrame
+    key: str = "chunk_id"
+
+    @classmethod
+    def build(cls, chunks: DataFrame, key: str = "chunk_id") -> LexicalIndex:
+        """The index of chunks(key, text, ...), its texts cut into tokens once."""
+        counts = stash(chunks.sparkSession, term_counts(chunks, key), "counts")
+        return cls(counts, _document_frequency(counts), chunks, key)
+
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """Three Parquet tables and the key's name; terms sorted, so that a reader can skip what no query asks for."""
+        spark = self.counts.sparkSession
+        for name, df in (("counts", self.counts), ("terms", self.terms.repartitionByRange("term").sortWithinPartitions("term")), ("chunks", self.chunks)):
+            df.write.mode(mode).parquet(f"{path}/{name}")
+        spark.createDataFrame([(self.key,)], "key string").write.mode(mode).parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        if not exists(spark, f"{path}/about"):
+            raise FileNotFoundError(f"no index at {path}")
+        counts, terms, chunks, about = (spark.read.parquet(f"{path}/{name}") for name in ("counts", "terms", "chunks", "about"))
+        return cls(counts, terms, chunks, about.first()["key"])
+
+    def extended(self, chunks: DataFrame) -> LexicalIndex:
+        """With the chunks whose key it does not have yet; only those are read into tokens."""
+        new = chunks.join(self.chunks.select(self.key), self.key, "left_anti")
+        counts = stash(chunks.sparkSession, term_counts(new, self.key), "counts")
+        terms = self.terms.unionByName(_document_frequency(counts)).groupBy("term").agg(F.sum("df").alias("df"))
+        return LexicalIndex(self.counts.unionByName(counts), terms, self.chunks.unionByName(new.select(self.chunks.columns)), self.key)
+
+    def scores(self, queries: DataFrame, query_key: str = "query_id") -> DataFrame:
+        """(query, key, score) of each chunk that shares a term with the query; only terms that some query has leave their rows."""
+        key = self.key
+        asked = query_terms(queries, query_key)
+        # The queries' terms bound both tables beside the index; few enough of them are broadcast, so that the index stays where it is.
+        few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        beside = F.broadcast if few else (lambda df: df)
+        stats = corpus_stats(self.counts)
+        terms = term_stats(self.terms.join(beside(asked.select("term").distinct()), "term", "left_semi"), stats)
+        # Dealt by chunk once, a row for each: the sums by (query, chunk) need no further exchange where the terms are broadcast.
+        found = _entries(self.counts.repartition(key), key).join(beside(terms), "term").join(beside(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+        tf = F.col("tf")
+        part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return found.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+
+    def top_k(self, queries: DataFrame, k: int = 10, query_key: str = "query_id") -> DataFrame:
+        return top_k(self.scores(queries, query_key), k, query_key, self.key)
+
+
+def _document_frequency(counts: DataFrame) -> DataFrame:
+    return counts.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def top_k(scores: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", digits: int = 6) -> DataFrame:
@@ -63,4 +115,5 @@ def top_k(scores: DataFrame, k: int, query_key: str = "query_id", key: str = "ch
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = 10, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    return top_k(bm25_scores(queries, chunks, query_key, key), k, query_key, key)
+    """The k best chunks of each query, by an index made for the purpose."""
+    return LexicalIndex.build(chunks.select(key, "text"), key).top_k(queries, k, query_key)

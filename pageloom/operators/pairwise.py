@@ -13,8 +13,9 @@ CHOICES = ("7b", "3b", "tie")
 
 
 def preferred(winner: Column, seven_is_a: Column) -> Column:
-    """A winner of A, B or tie as the model's name."""
-    return F.when(~winner.isin("A", "B") | winner.isNull(), F.lit("tie")).when((winner == "A") == seven_is_a, F.lit("7b")).otherwise(F.lit("3b"))
+    """A winner of A, B (in any case) or tie as the model's name."""
+    side = F.lower(F.trim(winner))
+    return F.when(~side.isin("a", "b") | side.isNull(), F.lit("tie")).when((side == "a") == seven_is_a, F.lit("7b")).otherwise(F.lit("3b"))
 
 
 def orders(pairs: DataFrame, key: str, swap: bool = False) -> DataFrame:

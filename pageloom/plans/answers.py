@@ -73,7 +73,8 @@ def signal_agreement(spark, sf_dir):
 def verdict_by_page_hit(spark, sf_dir):
     verdict = F.when(F.col("correct"), "correct").when(F.col("correct_or_partial"), "partial").otherwise("incorrect")
     table = _graded(spark, sf_dir).withColumn("verdict", verdict).groupBy("page_hit").pivot("verdict", ["correct", "partial", "incorrect"]).count().na.fill(0)
-    return table
+    whole = F.col("correct") + F.col("partial") + F.col("incorrect")
+    return table.withColumns({f"{v}_share": F.round(F.col(v) / whole, 6) for v in ("correct", "partial", "incorrect")})
 
 
 def ab_order_sha256(spark, sf_dir):
@@ -131,10 +132,9 @@ def context_prompt(spark, sf_dir):
 def generated_answers(spark, sf_dir):
     questions = _queries(spark, sf_dir).withColumnRenamed("text", "question")
     gold = gold_pages(_evidence(spark, sf_dir)).groupBy("query_id").agg(F.collect_list(F.struct("doc_name", "page_number")).alias("gold_pages"))
-    asked = answers.prompts(questions, _hits(spark, sf_dir).where("rank <= 10"))
-    rows = asked.join(answers.generate(asked), "query_id").join(gold, "query_id", "left")
+    rows = answers.with_answers(answers.prompts(questions, _hits(spark, sf_dir).where("rank <= 10"))).join(gold, "query_id", "left")
     rows = rows.withColumn("gold_pages", F.coalesce("gold_pages", F.array().cast("array<struct<doc_name:string,page_number:int>>")))
-    return answers.answered(rows).select("query_id", "answer", "cited", "refused", "page_hit", "first_hit_rank", "cited_pages_valid")
+    return answers.answered(rows).select("query_id", "answer", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), "refused", "page_hit", "first_hit_rank", F.coalesce("cited_pages_valid", F.lit(False)).alias("cited_pages_valid"))
 
 
 def json_judge_parse(spark, sf_dir):
@@ -180,7 +180,7 @@ _ROBUST = "CASE WHEN preferred = swapped THEN preferred ELSE 'unstable' END"
 
 SQL = {
     "citation_extract": "SELECT conv_id, turn, array_to_string(list_sort(list_distinct([turn, turn + 9, 3])), ',') AS cited FROM conversations",
-    "refusal_flag": "SELECT conv_id, turn, role = 'assistant' OR contains(lower(text), 'i could not find this in the provided documents.') AS refused FROM conversations",
+    "refusal_flag": "SELECT conv_id, turn, role = 'assistant' OR contains(lower(text), 'i cannot answer from the provided context.') AS refused FROM conversations",
     "answer_word_count": f"SELECT conv_id, turn, CAST({_WORDS} AS BIGINT) AS words FROM conversations",
     "cited_pages_valid": "SELECT conv_id, turn, turn % 3 + 1 = 2 AS cited_pages_valid FROM conversations",
     "parse_number": f"WITH {_PRICED} SELECT l_orderkey, l_linenumber, value FROM valued",
@@ -190,7 +190,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN value IS NOT NULL THEN abs(n - value)
     "answer_block_summary": f"""WITH {_GRADED} SELECT CASE WHEN grouping(question_type) = 0 THEN question_type WHEN grouping(page_hit) = 0 THEN 'page_hit=' || page_hit ELSE 'overall' END AS label, count(*) AS n, {_RATES}
 FROM g GROUP BY GROUPING SETS ((), (question_type), (page_hit))""",
     "signal_agreement": f"WITH {_GRADED} SELECT count(*) AS n, round(avg(CAST(numeric_match = correct AS INTEGER)), 6) AS agreement FROM g WHERE numeric_match IS NOT NULL",
-    "verdict_by_page_hit": f"WITH {_GRADED} SELECT page_hit, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct AND correct_or_partial) AS partial, count(*) FILTER (NOT correct_or_partial) AS incorrect FROM g GROUP BY page_hit",
+    "verdict_by_page_hit": f"WITH {_GRADED} SELECT page_hit, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct AND correct_or_partial) AS partial, count(*) FILTER (NOT correct_or_partial) AS incorrect, {", ".join(f"round(count(*) FILTER ({c}) / count(*), 6) AS {n}_share" for c, n in (("correct", "correct"), ("NOT correct AND correct_or_partial", "partial"), ("NOT correct_or_partial", "incorrect")))} FROM g GROUP BY page_hit",
     "ab_order_sha256": "SELECT doc_id, right(sha256(CAST(doc_id AS VARCHAR)), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS seven_is_a FROM documents",
     "preference_crosstab": f"WITH {_JUDGED} SELECT question_type, count(*) FILTER (preferred = '7b') AS \"7b\", count(*) FILTER (preferred = '3b') AS \"3b\", count(*) FILTER (preferred = 'tie') AS tie FROM j GROUP BY question_type",
     "preference_summary": f"""WITH {_JUDGED}, c AS (SELECT judge, count(*) AS n, count(*) FILTER (preferred = '7b') AS a, count(*) FILTER (preferred = '3b') AS b, count(*) FILTER (preferred = 'tie') AS t FROM j GROUP BY judge)

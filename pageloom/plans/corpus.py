@@ -154,6 +154,8 @@ SELECT doc_name, pages, chars_raw, chars_clean, coalesce(boilerplate_sigs, '') A
 SELECT doc_name || '__p' || page_number || '__c' || chunk_index AS chunk_id, doc_name, page_number, chunk_index, CAST(len(w) AS INTEGER) AS n_tokens FROM n""",
     "chunk_stats_percentiles": f"""WITH {_WINDOWS} SELECT count(*) AS n_chunks, count(DISTINCT doc_name) AS n_docs, round(avg(len(w)), 6) AS mean_tokens, round(CAST(median(len(w)) AS DOUBLE), 6) AS median_tokens,
   round(CAST(quantile_cont(len(w), 0.95) AS DOUBLE), 6) AS p95_tokens, CAST(max(len(w)) AS BIGINT) AS max_tokens FROM wins""",
+    "stratified_pilot": """SELECT o_orderkey, o_orderpriority FROM (SELECT o_orderkey, o_orderpriority, count(*) OVER (PARTITION BY o_orderpriority) AS n,
+    row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= round_even(0.2 * n, 0)""",
     "subset_by_docs": "SELECT doc_id, lang, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l JOIN documents x USING (doc_id) WHERE toxic = 1 AND x.source = d.source AND x.lang = d.lang)",
     "vector_reuse": """WITH old AS (SELECT lang, text, max(doc_id) AS pos FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang, text)
 SELECT doc_id, pos IS NOT NULL AS reused, pos AS old_pos FROM documents d LEFT JOIN old ON old.lang = d.lang AND old.text = d.text""",

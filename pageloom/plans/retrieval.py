@@ -35,8 +35,8 @@ def bm25_tokenize_subruns(spark, sf_dir):
 
 
 def bm25_term_stats(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    return lexical.term_stats(lexical.postings(chunks), lexical.corpus_stats(chunks)).select("term", "df", F.round("idf", 6).alias("idf"))
+    index = lexical.LexicalIndex.build(_chunks(spark, sf_dir))
+    return lexical.term_stats(index.terms, lexical.corpus_stats(index.counts)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_postings(spark, sf_dir):
@@ -87,12 +87,25 @@ def rrf_weight_sweep(spark, sf_dir):
 
 
 def contained(spark, sf_dir) -> DataFrame:
-    """(query_id, doc_name, page_num, text): documents that contain an item of seven tokens or more, found by a run of five tokens and then checked."""
-    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), word_tokens(F.col("text")).alias("w"))
-    items = items.where(F.size("w") >= 7).select("query_id", "item", F.array_join(F.slice("w", 2, 5), " ").alias("gram"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text", word_tokens(F.col("text")).alias("w"))
-    docs = docs.select("doc_id", "source", "text", F.explode(distinct_grams(F.col("w"), 5)).alias("gram"))
-    return docs.join(items, "gram").where(F.contains("text", "item")).select("query_id", F.col("source").alias("doc_name"), F.col("doc_id").alias("page_num"), F.col("item").alias("text"))
+    """(query_id, doc_name, page_num, text): documents that contain an item's text, blank items left out.
+
+    An item's inner tokens - the first and last may be parts of longer ones - stand in each document that contains it. So documents are found by
+    a run of up to five of them, ids alone, and then checked on their text. Items of one or two tokens have no inner one; they are looked for in each document.
+    """
+    items = _read(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"\S")).select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), word_tokens(F.col("text")).alias("w"))
+    keyed = items.where(F.size("w") > 2).select("query_id", F.array_join(F.slice("w", 2, F.least(F.lit(5), F.size("w") - 2)), " ").alias("gram"), F.least(F.lit(5), F.size("w") - 2).alias("n"))
+    docs = _read(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.array(word_tokens(F.col("text")))).alias("w"))
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # at most 1 to 5
+    grams = F.array_union(*[distinct_grams(F.col("w"), n) for n in (lengths * 2)[:2]]) if lengths else F.array().cast("array<string>")
+    for n in lengths[2:]:
+        grams = F.array_union(grams, distinct_grams(F.col("w"), n))
+    found = words.select("doc_id", F.explode(grams).alias("gram")).join(keyed, "gram").select("doc_id", "query_id").distinct()
+    short = items.where(F.size("w") <= 2).select("query_id", "item")
+    checked = docs.join(found, "doc_id").join(items.select("query_id", "item"), "query_id").where(F.contains("text", "item"))
+    direct = docs.join(short, F.contains("text", "item"))  # a stated query set against all rows
+    columns = ["query_id", F.col("source").alias("doc_name"), F.col("doc_id").alias("page_num"), F.col("item").alias("text")]
+    return checked.select(*columns).unionByName(direct.select(*columns))
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -164,7 +177,8 @@ def paired_bootstrap_ci(spark, sf_dir):
     for name, top in (("baseline", lexical.bm25_top_k(queries, chunks, 10)), ("overlap", overlap_top_k(queries, chunks, 10))):
         got = evaluation.page_metrics(_questions(spark, sf_dir), _evidence(spark, sf_dir), top.join(docs, "chunk_id"), (5, 10))
         parts.append(got.withColumn("variant", F.lit(name)))
-    return stats.paired_bootstrap(parts[0].unionByName(parts[1]), ["mrr", "page_hit_5", "page_hit_10"])
+    out = stats.paired_bootstrap(parts[0].unionByName(parts[1]), ["mrr", "page_hit_5", "page_hit_10"])
+    return out.select("variant", "metric", *[F.round(c, 6).alias(c) for c in ("value", "delta_vs_baseline", "delta_ci95_low", "delta_ci95_high")], "n_questions")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -223,7 +237,7 @@ ranked AS (SELECT weight, query_id, chunk_id, rrf, CAST(row_number() OVER (PARTI
 
 
 _GOLD = f"""
-found AS (SELECT item_id AS query_id, source AS doc_name, doc_id, b.text AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len({_words("b.text")}) >= 7),
+found AS (SELECT item_id AS query_id, source AS doc_name, doc_id, b.text AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE regexp_matches(b.text, '\\S')),
 gold AS (SELECT DISTINCT query_id, doc_name, CAST(doc_id + 1 AS INTEGER) AS page_number FROM found)"""
 
 _PAGES = f"""WITH {_INDEX}, {_bm25(20)}, {_GOLD},
@@ -254,6 +268,14 @@ ev AS (SELECT item_id AS query_id, CAST(ks.k AS INTEGER) AS k, coalesce(avg(toke
     coalesce(max(CAST(gram_recall >= 0.3 AS INTEGER)), 0) AS any_hit, coalesce(min(CAST(gram_recall >= 0.3 AS INTEGER)), 0) AS all_hit
   FROM benchmark CROSS JOIN ks LEFT JOIN recalls r ON r.query_id = item_id AND r.k = ks.k GROUP BY item_id, ks.k)"""
 
+
+def _top10(name: str) -> str:
+    """Page metrics of the first ten hits."""
+    lists = f"{_bm25(20)}" if name == "bm25" else f"{_OVERLAP}, hits AS (SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM dense)"
+    pages = _PAGES.replace(_bm25(20), lists).replace("FROM hits h JOIN documents ON chunk_id = doc_id)", "FROM hits h JOIN documents ON chunk_id = doc_id WHERE rank <= 10)")
+    return f"{pages} SELECT query_id, mrr, page_hit_5, page_hit_10 FROM metrics"
+
+
 _METRICS = ["mrr", *[f"{m}_{k}" for m in ("doc_hit", "page_hit", "page_recall") for k in KS]]
 _MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in _METRICS)
 
@@ -273,5 +295,15 @@ SQL = {
     "evidence_token_recall": f"{_EVIDENCE} SELECT query_id, k, round(token_recall, 6) AS token_recall FROM ev",
     "evidence_ngram_recall": f"{_EVIDENCE} SELECT query_id, k, round(gram_recall, 6) AS gram_recall FROM ev",
     "evidence_any_all_hit": f"{_EVIDENCE} SELECT query_id, k, any_hit, all_hit FROM ev",
+    "paired_bootstrap_ci": f"""WITH base AS (SELECT * FROM ({_top10("bm25")})), other AS (SELECT * FROM ({_top10("overlap")})),
+x AS (SELECT 'baseline' AS variant, * FROM base UNION ALL SELECT 'overlap', * FROM other),
+long AS (SELECT variant, query_id, unnest(['mrr', 'page_hit_5', 'page_hit_10']) AS metric, unnest([CAST(mrr AS DOUBLE), page_hit_5, page_hit_10]) AS v FROM x),
+d AS (SELECT l.variant, l.metric, l.v, l.v - b.v AS d, row_number() OVER (PARTITION BY l.variant, l.metric ORDER BY l.query_id) - 1 AS j, count(*) OVER (PARTITION BY l.variant, l.metric) AS n
+  FROM long l JOIN long b ON b.variant = 'baseline' AND b.query_id = l.query_id AND b.metric = l.metric),
+draws AS (SELECT r, CAST('0x' || left(md5('42|' || r || '|' || i), 8) AS BIGINT) % n AS j FROM range(5000) a(r), (SELECT DISTINCT n, unnest(range(1, n + 1)) AS i FROM d)),
+means AS (SELECT variant, metric, r, sum(d) / any_value(n) AS m FROM draws JOIN d USING (j) GROUP BY variant, metric, r),
+ci AS (SELECT variant, metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY variant, metric)
+SELECT variant, metric, round(avg(v), 6) AS value, round(avg(d), 6) AS delta_vs_baseline, round(any_value(lo), 6) AS delta_ci95_low, round(any_value(hi), 6) AS delta_ci95_high, count(*) AS n_questions
+FROM d JOIN ci USING (variant, metric) GROUP BY variant, metric""",
     "retrieval_summary_grouping_sets": f"{_PAGES} SELECT CASE WHEN grouping(question_type) = 1 THEN 'overall' ELSE question_type END AS label, count(*) AS n, {_MEANS} FROM metrics GROUP BY GROUPING SETS ((), (question_type))",
 }

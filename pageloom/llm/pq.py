@@ -15,7 +15,7 @@ precision, is ``threshold`` or more. Vectors that are null, empty, zero or hold
    count and one edge for each row that links, never its pairs.
 
 Results for repeated rows: each row is a vector of its own. Null vec_id: the row takes part and names no
-component unless alone; then component_id is null and kept false. Extra columns are ignored.
+component unless alone; then component_id is null and kept false. Extra columns are ignored, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stash, components, stash
+from .shared import components, stash
 
 _SLACK = 1e-6
 
@@ -143,28 +143,33 @@ def link_unit(q: Quantiser, home: int, x: np.ndarray, codes: np.ndarray, left: n
     return links, lab
 
 
-def _classes(spark: SparkSession, vectors: DataFrame) -> DataFrame:
-    """(rid, k1, k2, label, dim, x, first_id, copies) of the vectors that can link."""
+def _good() -> Column:
+    """Whether a row's vector can link."""
     odd = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    good = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(~odd & F.exists("embedding", lambda v: v != 0))
-    keyed = good.select("vec_id", *_keys(), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
-    grouped = keyed.groupBy("k1", "k2", "label", "x").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return stash(spark, grouped.select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", "label", F.size("x").alias("dim"), "x", "first_id", "copies"), "classes")
+    return F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~odd & F.exists("embedding", lambda v: v != 0), F.lit(False))
 
 
-def _keys() -> list:
+def _keys() -> list[Column]:
+    """128 bits that stand for label and vector; null where the vector links with nothing (a hash of an array passes over its nulls)."""
     plain = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0).cast("double")).otherwise(v.cast("double")))
     label = F.col("label").cast("string")
-    return [F.xxhash64(label, plain).alias("k1"), F.xxhash64(F.lit(1), label, plain).alias("k2")]
+    return [F.when(_good(), F.xxhash64(label, plain)).alias("k1"), F.when(_good(), F.xxhash64(F.lit(1), label, plain)).alias("k2")]
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 16384, rows_per_list: int = 1024, max_lists: int = 4096, block_rows: int = 4096) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of vectors(vec_id, label, embedding)."""
+def _classes(spark: SparkSession, vectors: DataFrame) -> DataFrame:
+    """(rid, k1, k2, label, dim, x, first_id, copies) of the vectors that can link."""
+    keyed = vectors.where(_good()).select("vec_id", *_keys(), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
+    grouped = keyed.groupBy("k1", "k2", "label", "x").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return stash(spark, grouped.select(F.monotonically_increasing_id().alias("rid"), "k1", "k2", "label", F.size("x").alias("dim"), "x", "first_id", "copies"), "classes")
+
+
+def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 16384, lists: int | None = None, block_rows: int = 4096) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row of vectors(vec_id, label, embedding). ``lists`` None: a quarter of the square root of the distinct vectors."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     classes = _classes(spark, vectors)
     n, dims = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
     if n:
-        named = _linked(spark, classes, n, dims, threshold, fit_rows, min(max_lists, max(4, n // rows_per_list)), block_rows)
+        named = _linked(spark, classes, n, dims, threshold, fit_rows, lists or max(4, round(math.sqrt(n) / 4)), block_rows)
     else:
         named = classes.select("k1", "k2", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
     rows = vectors.select("vec_id", *_keys()).join(named, ["k1", "k2"], "left")
@@ -172,54 +177,76 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _column(values: np.ndarray) -> pa.Array:
+    """A row of values as one binary value each."""
+    data = np.ascontiguousarray(values)
+    ends = np.arange(len(data) + 1, dtype=np.int64) * (data.nbytes // max(1, len(data)))
+    return pa.Array.from_buffers(pa.large_binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _values(column: pa.Array | pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    """The rows that _column made."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
 def _linked(spark: SparkSession, classes: DataFrame, n: int, dims: int, threshold: float, fit_rows: int, lists: int, block_rows: int) -> DataFrame:
-    """(k1, k2, n_links, component) of each class."""
+    """(k1, k2, n_links, component) of each class. Unit vectors and codes travel as bytes, by Arrow batches."""
     width = -(-dims // 8) * 8  # zeros at the end change no cosine
 
-    def matrix(xs) -> np.ndarray:
+    def matrix(xs: pa.Array | pa.ChunkedArray) -> np.ndarray:
         out = np.zeros((len(xs), width))
-        for i, x in enumerate(xs):
-            out[i, : len(x)] = x
+        parts = xs.chunks if isinstance(xs, pa.ChunkedArray) else [xs]
+        at = 0
+        for part in parts:
+            flat, size = part.flatten().to_numpy(zero_copy_only=False), np.diff(part.offsets.to_numpy())
+            if len(size) and size.min() == size.max():
+                out[at : at + len(size), : size[0]] = flat.reshape(len(size), size[0])
+            else:
+                ends = np.cumsum(size)
+                for i, (s, e) in enumerate(zip(ends - size, ends)):
+                    out[at + i, : e - s] = flat[s:e]
+            at += len(size)
         return unit_rows(out)
 
-    share = int((1 << 30) * min(1.0, fit_rows / n))
-    sample = classes.where(F.pmod(F.xxhash64(F.lit(5), "k1"), F.lit(1 << 30)) < share).select("k1", "x").toPandas().sort_values("k1")
+    share = int((1 << 62) * min(1.0, fit_rows / n))
+    sample = classes.where(F.pmod(F.xxhash64(F.lit(5), "k1", "k2"), F.lit(1 << 62)) < share).select("k1", "x").toArrow().sort_by("k1")
     if not len(sample):
-        sample = classes.orderBy("k1").limit(1).select("k1", "x").toPandas()
+        sample = classes.orderBy("k1").limit(1).select("k1", "x").toArrow()
     shared = spark.sparkContext.broadcast(fit(matrix(sample["x"]), threshold, lists))
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        for whole in frames:
-            for s in range(0, len(whole), 2048):
-                f = whole.iloc[s : s + 2048]
-                own, codes, left, d2 = q.encode(matrix(f["x"]))
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2048):
+                b = whole.slice(s, 2048)
+                x = matrix(b.column("x"))
+                own, codes, left, d2 = q.encode(x)
                 i, home = np.nonzero(q.probes(own, d2))
-                rows = np.r_[np.arange(len(f)), i]
-                out = f.iloc[rows].reset_index(drop=True)
-                out["home"], out["member"] = np.r_[own, home].astype(np.int32), np.r_[np.ones(len(f), bool), np.zeros(len(i), bool)]
-                out["codes"], out["left_over"] = list(codes[rows]), left[rows]
-                yield out
+                rows = np.r_[np.arange(len(x)), i]
+                member = np.r_[np.ones(len(x), bool), np.zeros(len(i), bool)]
+                taken = b.select(["rid", "label", "dim", "copies"]).take(pa.array(rows))
+                more = [_column(x[rows]), pa.array(np.r_[own, home].astype(np.int32)), pa.array(member), _column(codes[rows]), pa.array(left[rows])]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *more], ["rid", "label", "dim", "copies", "x", "home", "member", "codes", "left_over"])
 
     rows = classes.select("rid", "label", "dim", "x", "copies")
-    kind = rows.schema["x"].dataType.simpleString()
-    placed = stash(spark, rows.mapInPandas(assign, f"rid long, label string, dim int, x {kind}, copies long, home int, member boolean, codes array<short>, left_over double"), "placed")
+    placed = stash(spark, rows.mapInArrow(assign, "rid long, label string, dim int, copies long, x binary, home int, member boolean, codes binary, left_over double"), "placed")
     key = ["label", "dim", "home"]
     big = stash(spark, placed.groupBy(*key).count().where(F.col("count") > block_rows).select(*key, F.ceil(F.col("count") / block_rows).cast("int").alias("nb")), "big")
     nb = F.coalesce("nb", F.lit(1))
     dealt = placed.join(big, key, "left").withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64(F.lit(7), "rid"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).drop("other", "nb")
 
-    def unit(f: pd.DataFrame) -> pd.DataFrame:
-        member = f["member"].to_numpy(dtype=bool)
-        if len(f) < 2 or not member.any():
-            return pd.DataFrame({"rid": [], "links": [], "root": []})
-        rid, home = f["rid"].to_numpy(), int(f["home"].iloc[0])
-        links, lab = link_unit(shared.value, home, matrix(f["x"]), np.array(f["codes"].tolist()), f["left_over"].to_numpy(), member, f["copies"].to_numpy(), f["blk"].to_numpy(), threshold)
-        hit = links > 0
-        return pd.DataFrame({"rid": rid[hit], "links": links[hit], "root": rid[lab[hit]]})
-
-    found = Stash(spark, dealt.groupBy(*key, "lo", "hi").applyInPandas(unit, "rid long, links long, root long"), "found").df
+    def unit(t: pa.Table) -> pa.Table:
+        member = t["member"].to_numpy()
+        rid, home = t["rid"].to_numpy(), t["home"][0].as_py()
+        hit, links, lab = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(rid) > 1 and member.any():
+            codes = _values(t["codes"], np.int16, 8)
+            links, lab = link_unit(shared.value, home, _values(t["x"], np.float64, width), codes, t["left_over"].to_numpy(), member, t["copies"].to_numpy(), t["blk"].to_numpy(), threshold)
+            hit = np.flatnonzero(links)
+        return pa.table({"rid": rid[hit], "links": links[hit], "root": rid[lab[hit]]})
+
+    found = stash(spark, dealt.groupBy(*key, "lo", "hi").applyInArrow(unit, "rid long, links long, root long"), "found")
     roots = components(spark, found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     named = classes.select("rid", "k1", "k2", "first_id", "copies").join(counts, "rid", "left").join(roots.withColumnRenamed("v", "rid"), "rid", "left")

@@ -43,11 +43,18 @@ def test_against_brute_force(spark, block_rows):
     rows += [(1, None, rows[3][2]), (2, 1, None), (3, 1, [0.0] * 12), (4, 1, [float("nan")] * 12), (5, 1, [None] * 12), (6, 1, []), (7, 1, [float("inf")] + [1.0] * 11)]
     rows += [(8, 1, [2 * v for v in rows[3][2]]), (9, 1, [1.0, 2.0, 3.0]), (10, 1, [1.0, 2.0, 3.0]), (None, 1, rows[5][2]), (None, 1, [9.0, 1.0]), (11, 1, rows[3][2]), (11, 1, rows[3][2])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<double>, root string")
-    got = [tuple(r) for r in near_vectors(spark, df, rows_per_list=20, block_rows=block_rows).collect()]
+    got = [tuple(r) for r in near_vectors(spark, df, lists=20, block_rows=block_rows).collect()]
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(got, key=key) == sorted(slow(rows), key=key)
 
 
+def test_null_components_link_with_nothing(spark):
+    """A hash of an array passes over nulls, so these would share a key with their shorter neighbours."""
+    df = spark.createDataFrame([(1, 1, [1.0, None, 2.0]), (2, 1, [1.0, 2.0, None]), (3, 1, [1.0, 2.0]), (4, 1, [1.0, 2.0]), (5, 1, [None, 1.0, 2.0])], "vec_id long, label int, embedding array<double>")
+    got = [tuple(r) for r in near_vectors(spark, df).orderBy("vec_id").collect()]
+    assert got == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+
+
 def test_nothing_to_link(spark):
     df = spark.createDataFrame([(1, 1, None), (2, None, [1.0])], "vec_id long, label int, embedding array<float>")
     assert [tuple(r) for r in near_vectors(spark, df).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]

@@ -5,14 +5,15 @@ Fingerprint. A-Z lower-cased, words are runs of bytes other than space and 0x09-
 makes fingerprint 0. A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42).
 
 Links. Two fingerprints link at ``max_bits`` differing bits or fewer. The 64 bits are cut into
-``max_bits + 2`` blocks; a linked pair differs in at most ``max_bits`` of them, so at least two blocks are
-equal, and each pair of blocks is a key: at 4 bits 15 keys of about 21 bits. Equal fingerprints are
+``max_bits + 2`` blocks or, for many fingerprints, more; a linked pair differs in at most ``max_bits`` of them, so all others are
+equal, and each choice of that many blocks is a key: at 4 bits 15 keys of about 21 bits, or 35 of 27, or 70 of 32. Equal fingerprints are
 one vertex before that. A bucket's rows never become all its pairs: a search by pivots
 compares a fingerprint with those not yet reached only and returns one edge for each it reaches.
 Buckets that a sample shows to hold over ``block_rows`` fingerprints are cut into blocks, and each pair of blocks is one unit.
 
 Null or empty text: fingerprint 0, linked like any other. Null doc_id: takes part, is never a
-component's name unless all of its component's ids are null. Repeated rows give repeated rows.
+component's name unless all of its component's ids are null. Repeated rows give repeated rows. Very long texts are read in parts of 65,536 shingles.
+An empty table gives an empty table. Extra columns pass through ``simhash_near_dedup``, whatever their names, and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, components, stash
+from .shared import bounded_batches, components, fresh, stash
 
 SEED = 42
 
@@ -64,18 +65,27 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("doc_id", "text").alias("th1"),
-        F.xxhash64(F.lit(1), "doc_id", "text").alias("th2"),
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("th1"),
+        F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), "text").alias("th2"),
         F.col("text").cast("binary").alias("text"),
     )
     return rows.mapInArrow(work, "doc_id long, th1 long, th2 long, fp long")
 
 
-def block_masks(max_bits: int) -> list[int]:
-    """Masks of every two of max_bits + 2 blocks, as signed longs."""
-    cuts = np.linspace(0, 64, max_bits + 3).round().astype(int)
-    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(cuts, cuts[1:])]
-    both = [x | y for x, y in combinations(blocks, 2)]
+def blocks_for(n: int, max_bits: int, per_key: int = 64) -> int:
+    """How many blocks n fingerprints take: at least two must agree, and more as n grows, so that a key of even fingerprints has about ``per_key`` of them."""
+    blocks = max_bits + 2
+    while blocks < 2 * max_bits and n >> (64 * (blocks - max_bits) // blocks) > per_key:
+        blocks += 1
+    return blocks
+
+
+def block_masks(max_bits: int, blocks: int | None = None) -> list[int]:
+    """Masks of every ``blocks - max_bits`` of the blocks, as signed longs; ``max_bits`` differing bits leave one of them untouched."""
+    blocks = blocks or max_bits + 2
+    cuts = np.linspace(0, 64, blocks + 1).round().astype(int)
+    parts = [sum(1 << i for i in range(a, b)) for a, b in zip(cuts, cuts[1:])]
+    both = [sum(some) for some in combinations(parts, blocks - max_bits)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in both]
 
 
@@ -101,9 +111,9 @@ def reach(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(src), np.concatenate(dst)) if src else (none, none)
 
 
-def link_edges(distinct: DataFrame, max_bits: int = 4, block_rows: int = 1 << 16, sample: int = 64) -> DataFrame:
+def link_edges(distinct: DataFrame, max_bits: int = 4, block_rows: int = 1 << 16, sample: int = 64, blocks: int | None = None) -> DataFrame:
     """distinct(fp) -> edges (a, b) whose components are those of all links."""
-    masks = block_masks(max_bits)
+    masks = block_masks(max_bits, blocks)
     slots = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     keys = distinct.select("fp", slots.alias("s")).select("fp", "s.slot", "s.key")
     # Fixed by the fingerprint alone, so that all rows of a key see the same count.
@@ -168,15 +178,15 @@ def segments(fps: np.ndarray, unit: np.ndarray, max_bits: int, small: int = 32)
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, k: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, th1, th2, fp, component_id) for each row of docs."""
+    """(doc_id, th1, th2, fp, root, component_id) for each row of docs; root names the component also where all its ids are null."""
     prints = stash(spark, fingerprints(docs, k), "prints")
     distinct = stash(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(spark, link_edges(distinct.select("fp"), max_bits))
+    roots = components(spark, link_edges(distinct.select("fp"), max_bits, blocks=blocks_for(distinct.count(), max_bits)))
     named = distinct.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = stash(spark, named, "roots")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = stash(spark, named.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(of, "fp").select("doc_id", "th1", "th2", "fp", "component_id")
+    of = stash(spark, named.join(least, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(of, "fp").select("doc_id", "th1", "th2", "fp", "root", "component_id")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, k: int = 5, max_bits: int = 4) -> DataFrame:
@@ -184,9 +194,15 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, k: int = 5, max_bit
     hash of the row. Rows equal in doc_id and text are one document. Columns are those of docs.
     """
     found = stash(spark, simhash_components(spark, docs, k, max_bits), "groups")
-    names = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th1", "th2")).alias("w")
-    stay = names.agg(first).select("w.th1", "w.th2")
-    keyed = docs.withColumns({"__th1": F.xxhash64(F.col("doc_id").cast("long"), "text"), "__th2": F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), "text")})
-    stay = stay.select(F.col("th1").alias("__th1"), F.col("th2").alias("__th2"))
-    return keyed.join(stay, ["__th1", "__th2"], "left_semi").dropDuplicates(["__th1", "__th2"]).drop("__th1", "__th2")
+    stay = found.groupBy("root").agg(first).select("w.th1", "w.th2")
+    return one_row_each(docs, stash(spark, stay, "stay"))
+
+
+def one_row_each(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """A row of docs for each (th1, th2) of stay; the join and the choice among repeated rows share one exchange."""
+    a, b = fresh(docs.columns, "th1", "th2")
+    doc = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({a: F.xxhash64(doc, "text"), b: F.xxhash64(F.lit(1), doc, "text")})
+    kept = keyed.join(stay.select(F.col("th1").alias(a), F.col("th2").alias(b)), [a, b], "left_semi")
+    return kept.dropDuplicates([a, b]).select(docs.columns)

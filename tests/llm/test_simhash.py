@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import xxhash
-from pageloom.llm.simhash import fingerprint, segments, simhash_components, simhash_near_dedup
+from pageloom.llm.simhash import block_masks, blocks_for, fingerprint, link_edges, segments, simhash_components, simhash_near_dedup
 
 
 def slow_fp(text, k=4):
@@ -88,3 +88,29 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(spark, df).count() == 0
     assert simhash_near_dedup(spark, df).count() == 0
+
+
+def test_near_copies_without_an_id(spark):
+    """Components whose ids are all null are one group each, as others are."""
+    text = " ".join(f"word{i}" for i in range(300))
+    for ids in ((1, 2), (None, None), (None, 2)):
+        df = spark.createDataFrame([(ids[0], text, "a", 1), (ids[1], text + " more", "b", 2), (None, "something else altogether", "c", 3)], "doc_id long, text string, th1 string, _th1 int")
+        got = simhash_near_dedup(spark, df)
+        assert got.columns == df.columns and got.count() == 2
+
+
+def test_any_number_of_blocks_finds_the_same_links(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in centre for _ in range(8)})
+    signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = slow_components(list(range(len(fps))), fps)
+    for blocks in (6, 7, 8):
+        lab = np.arange(len(fps))
+        edges = [(signed.index(r.a), signed.index(r.b)) for r in link_edges(df, 4, blocks=blocks).collect()]
+        for _ in range(12):
+            for a, b in edges:
+                lab[a] = lab[b] = min(lab[a], lab[b])
+        assert lab.tolist() == want
+    assert [blocks_for(n, 4) for n in (0, 10**6, 10**10, 10**14)] == [6, 6, 8, 8] and len(block_masks(4, 8)) == 70

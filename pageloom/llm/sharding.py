@@ -8,16 +8,14 @@ size, and number the rows within their shard.
 
 Size of a row: UTF-8 bytes of the text plus 1; null text counts as no bytes and is a group of its own, apart from the empty text.
 Groups are told apart by 128 bits of their text's hash. Repeated rows are rows of one group. Fewer groups than shards leave shards empty.
+Null doc_ids are rows like any other. A very long text is one row of its size. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import stash
@@ -63,34 +61,17 @@ def place(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int,
     return out
 
 
-def _numbered(spark: SparkSession, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """df, written, with ``pid`` and ``idx``: the partition, and the row's number in it (among rows of equal ``by``)."""
-    names = [*df.columns, "pid", "idx"]
-    at = df.columns.index(by) if by else None
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["pid int", "idx long"])
+def _numbered(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """df, written, with ``pid`` and ``idx``: the partition, and the row's number in it."""
+    at = F.monotonically_increasing_id()
+    made = df.withColumn("__at", at).withColumns({"pid": F.shiftright("__at", 33).cast("int"), "idx": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    return stash(spark, made.drop("__at"), tag)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seen = TaskContext.get().partitionId(), {}
-        for b in batches:
-            idx = []
-            for key in b.column(at).to_pylist() if by else [0] * b.num_rows:
-                n = seen[key] = seen.get(key, -1) + 1
-                idx.append(n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pid] * b.num_rows, pa.int32()), pa.array(idx, pa.int64())], names)
 
-    return stash(spark, df.mapInArrow(work, schema), tag)
-
-
-def _starts(spark: SparkSession, numbered: DataFrame, by: str | None = None) -> DataFrame:
-    """(pid, [by,] start): what the rows of earlier partitions come to. One row for each partition (and shard)."""
-    keys = ["pid", by] if by else ["pid"]
-    total: dict = {}
-    out = []
-    for r in sorted(numbered.groupBy(*keys).count().collect(), key=lambda r: r["pid"]):
-        key = r[by] if by else 0
-        out.append((*[r[k] for k in keys], total.get(key, 0)))
-        total[key] = total.get(key, 0) + r["count"]
-    return spark.createDataFrame(out, ", ".join(f"{k} int" for k in keys) + ", start long")
+def _starts(counts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """counts(keys, n) -> (keys, start): what the rows of earlier keys come to, within each of ``by``. One row for each partition (and shard)."""
+    earlier = Window.partitionBy(*by).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
 
 
 def shard_by_size(spark: SparkSession, docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -113,7 +94,11 @@ def shard_by_size(spark: SparkSession, docs: DataFrame, shards: int = 8) -> Data
     histogram = [(r["total"], r["count"]) for r in ranked.groupBy("total").count().collect()]
     plan = spark.createDataFrame(place(histogram, shards), "total long, before long, sums array<long>")
     rank = F.col("start") + F.col("idx") - F.col("before")
-    homes = ranked.join(_starts(spark, ranked), "pid").join(plan, "total").select("g1", "g2", F.size(F.filter("sums", lambda s: s <= rank)).alias("shard"))
+    parts = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    homes = ranked.join(_starts(parts, ["pid"], []), "pid").join(plan, "total").select("g1", "g2", F.size(F.filter("sums", lambda s: s <= rank)).alias("shard"))
     homes = stash(spark, homes, "homes")
-    placed = _numbered(spark, rows.join(homes, ["g1", "g2"]).select("doc_id", "size", "text_crc32", "shard"), "placed", by="shard")
-    return placed.join(_starts(spark, placed, "shard"), ["pid", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("idx")).alias("slot"))
+    placed = _numbered(spark, rows.join(homes, ["g1", "g2"]).select("doc_id", "size", "text_crc32", "shard"), "placed")
+    key = ["shard", "pid"]
+    parts = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*key).orderBy("idx")) - 1  # a partition's rows of a shard, not a shard's
+    return placed.withColumn("own", own).join(_starts(parts, key, ["shard"]), key).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("own")).alias("slot"))

@@ -6,11 +6,12 @@ the languages. A whole text is cut into windows; its languages' probabilities ar
 their bytes. For prediction the filters over embedded bytes are held as two tables by byte pair, so a position
 costs two look-ups; the result is the same.
 
-Training takes at most about ``docs_per_lang`` labelled rows of each of the ``max_langs`` most frequent languages, chosen by
-a hash of ``key``, and ``windows_per_doc`` windows of each: that bounds what the driver holds. Null text or lang is not learned from.
+Training takes about ``docs_per_lang`` labelled texts of each language, fewer if there are so many languages that all come to over ``fit_docs``, chosen by
+a hash of text and language, equal texts once, and ``windows_per_doc`` windows of each: that bounds what the driver holds. Every language in the labels is learned.
+Null text or lang is not learned from.
 
 Predictions: text null or without a letter, or nothing learned: ``und`` with score 0. Equal probabilities: the first language by name. Result
-columns replace columns of their names; all rows stay.
+columns replace columns of their names; all rows stay. Very long texts are read window by window, whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -125,15 +126,18 @@ def train(windows: list[bytes], langs: list[str], width: int = 256, d: int = 8,
     return ByteCNN(names, p["embed"], p["filters"], p["bias"], p["out"], p["out_bias"], width)
 
 
-def fit_language_id(labelled: DataFrame, key: str = "doc_id", docs_per_lang: int = 600, windows_per_doc: int = 3, max_langs: int = 200, width: int = 256) -> ByteCNN | None:
-    """The network of the rows (text, lang, key) of labelled; None where there is nothing to learn."""
+def fit_language_id(labelled: DataFrame, docs_per_lang: int = 600, windows_per_doc: int = 3, fit_docs: int = 120_000, width: int = 256) -> ByteCNN | None:
+    """The network of the rows (text, lang) of labelled; None where there is nothing to learn."""
     bounded_batches(labelled.sparkSession)
-    known = labelled.where("lang IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    counts = known.groupBy("lang").count()
+    langs = counts.count()
+    if not langs:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))])
-    some = known.where((F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)) & F.col("text").isNotNull())
+    beside = F.broadcast if langs <= 100_000 else lambda df: df
+    share = F.least(F.lit(1.0), F.lit(min(docs_per_lang, max(1, fit_docs // langs))) / F.col("count")) * float(1 << 62)
+    drawn = known.withColumn("h", F.xxhash64(F.lit(17), "lang", "text")).join(beside(counts.select("lang", share.alias("share"))), "lang")
+    some = drawn.where(F.pmod("h", F.lit(1 << 62)) < F.col("share")).dropDuplicates(["h"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -16,8 +16,9 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    model = langid.fit_language_id(docs.where(~held_out))
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    held_out = F.coalesce(remainder == 0, F.lit(False))
+    model = langid.fit_language_id(docs.where(remainder != 0))  # a document without an id has no remainder and is not learned from
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
@@ -28,7 +29,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = secrets.find_secrets(spark, docs, secrets.example_forest(spark))
+    words = secrets.corpus_words(docs)
+    found = secrets.find_secrets(docs, secrets.fit_forest(secrets.example_table(spark), words), words, path="source")
     return found.select("doc_id", "word", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.round("score", 9).alias("score"), "is_secret")
 
 

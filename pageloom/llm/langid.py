@@ -99,7 +99,7 @@ def train(windows: list[bytes], langs: list[str], width: int = 256, d: int = 8,
             own = order[at : at + batch]
             xb, yb = x[own].copy(), y[own]
             short = rng.random(len(own)) < 0.5
-            stop = np.where(short, rng.integers(12, width, len(own)), width)
+            stop = np.where(short, np.exp(rng.uniform(np.log(4), np.log(width), len(own))).astype(int), width)  # short ones as often as long ones
             xb[np.arange(width)[None, :] >= stop[:, None]] = 0
             e = p["embed"][xb]
             patches = np.lib.stride_tricks.sliding_window_view(e, 4, axis=1).transpose(0, 1, 3, 2).reshape(len(own), width - 3, 4 * d)

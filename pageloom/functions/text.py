@@ -11,7 +11,7 @@ MAX_EDGE_CHARS = 60
 SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12, "k": 1e3, "m": 1e6, "bn": 1e9, "b": 1e9}
 #: Patterns of numbers in questions and answers.
 _NUMBER = r"(?i)\(?\$?\s*(-?\d+(?:\.\d+)?)\s*(thousand|million|billion|trillion|bn|k|m|b)?"
-_NUMBERS = r"(?i)(\(?\$?\s*-?\d[\d,]*(?:\.\d+)?\s*(?:thousand|million|billion|trillion|bn|k|m|b)?)"
+_NUMBERS = r"(?i)\(?\$?\s*(-?\d[\d,]*(?:\.\d+)?)\s*(thousand|million|billion|trillion|bn|k|m|b)?"
 #: Fixed value: the sentence that an answer must hold to count as a refusal.
 REFUSAL = "I cannot answer from the provided context."
 
@@ -80,6 +80,11 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"(?U)\s+")))
 
 
+def _factor(scale: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(scale)), F.lit(1.0))
+
+
 def parse_number(text: Column) -> Column:
     """The first number of a text, with its scale word; negative where a bracket stands before and one after it.
 
@@ -88,9 +93,7 @@ def parse_number(text: Column) -> Column:
     bare = F.replace(text, F.lit(","), F.lit(""))
     digits, scale, whole = (F.regexp_extract(bare, _NUMBER, g) for g in (1, 2, 0))
     start = F.regexp_instr(bare, F.lit(_NUMBER))
-    table = F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair])
-    factor = F.coalesce(F.try_element_at(table, F.lower(scale)), F.lit(1.0))  # the pattern runs once, not once a word
-    value = digits.cast("double") * factor
+    value = digits.cast("double") * _factor(scale)
     before, after = F.substring(text, F.lit(1), start), F.substring(text, start + F.length(whole) - 1, F.length(text) + 1)
     value = F.when(F.contains(before, F.lit("(")) & F.contains(after, F.lit(")")), -F.abs(value)).otherwise(value)
     return F.when(digits != "", value)
@@ -98,8 +101,9 @@ def parse_number(text: Column) -> Column:
 
 def numeric_match(gold: Column, answer: Column, tolerance: float = 0.01) -> Column:
     """Null if gold has no number; else whether some number of the answer is within the tolerance."""
-    want = parse_number(gold)
-    numbers = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(_NUMBERS), F.lit(1)), lambda t: parse_number(t))
+    want, said = parse_number(gold), F.coalesce(answer, F.lit(""))
+    digits, scales = (F.regexp_extract_all(said, F.lit(_NUMBERS), F.lit(g)) for g in (1, 2))  # no bracket closes within a number, so none is negative by brackets
+    numbers = F.zip_with(digits, scales, lambda d, s: F.replace(d, F.lit(","), F.lit("")).cast("double") * _factor(s))
     # Beside each number stands the wanted one: inside a lambda it would be parsed anew for each.
     near = F.zip_with(numbers, F.array_repeat(want, F.size(numbers)), lambda n, w: F.coalesce(F.abs(n - w) <= F.greatest(tolerance * F.abs(w), F.lit(1e-6)), F.lit(False)))
     return F.when(want.isNotNull(), F.exists(near, lambda x: x))

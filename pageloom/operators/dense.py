@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import inner_product
+from pageloom.store import stash
 
 
 def normalised(vector: Column) -> Column:
@@ -18,24 +20,30 @@ def normalised(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6, block: int = 4096) -> DataFrame:
     """queries(query_id, q), corpus(vec_id, v) -> (query_id, vec_id, score, rank), by expressions alone.
 
-    Every query meets every row, as an exact scan must; the queries are the stated set and the corpus stays where it is.
+    Every query meets every row, as an exact scan must; the queries are the stated set. Up to ``block`` of them go to the corpus, which then stays where it is.
     """
-    scored = corpus.crossJoin(queries).select("query_id", "vec_id", F.round(inner_product("q", "v"), digits).alias("score"))
+    few = queries.limit(block + 1).count() <= block
+    scored = corpus.crossJoin(F.broadcast(queries) if few else queries).select("query_id", "vec_id", F.round(inner_product("q", "v"), digits).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def dense_top_k_blocks(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6, block: int = 4096) -> DataFrame:
-    """The same by matrix products: queries go out in blocks of fixed size, each task keeps k rows a query and batch."""
-    rows = queries.orderBy("query_id").toPandas()
-    parts = []
-    for s in range(0, len(rows), block):
-        own = rows.iloc[s : s + block]
-        shared = spark.sparkContext.broadcast((own["query_id"].to_numpy(), np.array(own["q"].tolist(), dtype=np.float64)))
-        parts.append(corpus.select("vec_id", "v").mapInPandas(_best_of(shared, k, digits), "query_id long, vec_id long, score double"))
+    """The same by matrix products: queries go out in blocks of fixed size, each task keeps k rows a query and batch.
+
+    The driver holds one block of queries at a time: of several, each one's hits are written before the next is read.
+    """
+    many, parts = queries.limit(block + 1).count() > block, []
+    rows = queries.select("query_id", "q").toLocalIterator()
+    while own := list(islice(rows, block)):
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own]), np.array([r["q"] for r in own], dtype=np.float64)))
+        hits = corpus.select("vec_id", "v").mapInPandas(_best_of(shared, k, digits), "query_id long, vec_id long, score double")
+        parts.append(stash(spark, hits, "hits") if many else hits)
+        if many:
+            shared.destroy()
     if not parts:
         return corpus.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     found = parts[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, decontaminate, langid, lines, lmscore, pq, secrets, sharding, simhash
+from . import align, bpe, chat, decontaminate, fim, langid, lines, lmscore, mix, pq, secrets, sharding, simhash
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,19 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_scores(spark, aligned, F.col("doc_id").cast("long").alias("doc_id"), digest).select(*columns)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    made = fim.fill_in_middle(spark, docs, seed=42, rate=50, spm=80)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mix.mix(spark, docs, weights=(3, 1, 2), share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_language_id": op2_language_id,
@@ -120,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_alignment": op11_token_alignment,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_mix": op13_source_mix,
 }
 
 SQL: dict[str, str] = {
@@ -171,5 +186,21 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(et) + CASE WHEN same THEN 7 ELSE 13 + length(er) END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+f AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS i, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT *, coalesce(array_to_string(list_slice(w, 1, i), ''), '') AS a, coalesce(array_to_string(list_slice(w, i + 1, j), ''), '') AS b, coalesce(array_to_string(list_slice(w, j + 1, n), ''), '') AS c
+  FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
 """,
 }

@@ -43,6 +43,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, deleted at exit."""
     path = f"{shared_dir(spark)}/pageloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"

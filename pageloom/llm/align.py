@@ -1,16 +1,18 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes, and how often each two ids do so in the corpus.
 
-Workers cut and code texts by the two tokenizer libraries; all after that is expressions. A byte offset where tokens of both end is in the
-intersection of the two arrays of ends. Sorted among the ends of one side it stands beside its equal, which tells the token's place; so groups come from
-one sort a side, not from a search for each offset. A group's links are all its pairs of tokens. Groups of more than ``PLAIN_LINKS``
-pairs (long runs in which the vocabularies never meet) are counted by distinct ids and their numbers, not pair by pair; the sums are the same.
+Workers cut and code texts by the two tokenizer libraries; all after that is expressions. Coding works on units, texts cut where white space follows another character. Neither
+vocabulary has a token across such a place - where the second has pieces with white space other than the space, texts that hold that are cut at spaces alone - so a unit's tokens are those it
+has in the whole text. Workers keep the tokens of units seen up to a bound; memory does not grow with the corpus. They hand over blocks of documents: each as the numbers of its
+units, and the tokens of the block's distinct units one after another.
 
-Coding works on units, texts cut before each space between a character which is no white space and a word. Neither vocabulary has a token across such a place, so a unit's
-tokens are those it has in the whole text. Workers keep the tokens of units seen up to a bound of bytes; memory does not grow with the corpus.
+A byte offset where tokens of both end is in the intersection of the two arrays of ends. Sorted among the ends of one side it stands beside its equal, which tells the token's place; so
+groups come from one sort a side. Unit ends are common ends, so groups, their text and their links are made once for each distinct unit of a block, and documents are put together from
+units. A group's links are all its pairs of tokens. Groups of more than ``PLAIN_LINKS`` pairs (long runs in which the vocabularies never meet) are counted by distinct ids and their
+numbers, not pair by pair; the sums are the same.
 
 Null or empty text, and text whose tokens do not give back its bytes (in practice text with U+2581, which the second vocabulary reads as a space), has no tokens, groups or links.
-Very long texts are coded whole, and very long units are coded and not kept. Repeated rows count as documents of their own. An empty table gives an
-empty table. Columns of docs are kept; ``ids_a``, ``ids_b`` and ``groups`` replace columns of that name.
+Very long texts are coded whole, and very long units are coded and not kept. Repeated rows count as documents of their own. An empty table gives an empty table. Columns of docs are kept;
+``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``aligned``, ``links`` and ``many_links`` replace columns of that name.
 """
 
 from __future__ import annotations
@@ -34,8 +36,11 @@ PLAIN_LINKS = 256
 #: Counts of this many id pairs, the most frequent, go to every task; the others are joined in.
 BROADCAST_PAIRS = 200_000
 
-_UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*(?:\s+\Z)?|\s+")
-_ARRAYS = ("ia", "ea", "ib", "eb")
+_MADE = ("n_a", "n_b", "n_groups", "n_links", "aligned", "links", "many_links")
+
+
+_UNIT = re.compile(r"\s*\S+|\s+").findall
+_SPACED = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*(?:\s+\Z)?|\s+").findall
 
 
 def byte_level_bytes() -> dict[str, int]:
@@ -48,7 +53,7 @@ def byte_level_bytes() -> dict[str, int]:
 class Coder:
     """Codes texts by both vocabularies; keeps the tokens of units, those of one batch and about ``keep_tokens`` more."""
 
-    def __init__(self, json: str, model: bytes, keep_tokens: int = 2_000_000, long_unit: int = 256):
+    def __init__(self, json: str, model: bytes, keep_tokens: int = 6_000_000, long_unit: int = 256):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -56,80 +61,104 @@ class Coder:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         of = byte_level_bytes()
-        self.bytes_a = {n: bytes(of[c] for c in t) for t, n in self.a.get_vocab(with_added_tokens=True).items()}
-        self.bytes_b = {n: self._piece(n) for n in range(self.b.get_piece_size())}
+        a = {n: bytes(of[c] for c in t) for t, n in self.a.get_vocab(with_added_tokens=True).items()}
+        pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
+        b = {n: bytes([int(t[3:5], 16)]) if self.b.is_byte(n) else t.replace("▁", " ").encode() for n, t in enumerate(pieces)}
+        if any("▁" in t.lstrip("▁") for t in pieces):
+            raise ValueError("a piece goes on across a space")
+        self.bytes = a, b
+        self.lengths = [np.array([len(t.get(n, b"")) for n in range(max(t) + 1)], np.int32) for t in (a, b)]
+        # White space that no longer piece has: a unit may begin with it.
+        bound = "".join(sorted({c for t in pieces if len(t) > 1 and not t.startswith("<0x") for c in t if c.isspace()}))
+        self.odd = re.compile(f"[{re.escape(bound)}]").search if bound else lambda _: None
+        self.space = self.b.piece_to_id("▁")
         self.keep_tokens, self.long_unit = keep_tokens, long_unit
         self._clear()
 
-    def _piece(self, n: int) -> bytes:
-        piece = self.b.id_to_piece(n)
-        return bytes([int(piece[3:5], 16)]) if self.b.is_byte(n) else piece.replace("▁", " ").encode()
-
     def _clear(self) -> None:
+        none = np.zeros(0, np.int32)
         self.known: dict[str, int] = {}
-        self.whole: list[bool] = []  # of each unit, whether its tokens give its bytes
-        self.size: list[int] = []
-        self.tokens: list[list[np.ndarray]] = [[], []]  # of each side: ids and ends of each unit
-        self.kept = 0
+        self.whole = none.astype(bool)  # of each unit, whether its tokens give its bytes
+        self.size = none.astype(np.int64)
+        self.counts = [none.astype(np.int64)] * 2
+        self.ids, self.ends = [none] * 2, [none] * 2
+        self.full = False
+
+    def _pieces(self, units: list[str]) -> list[list[int]]:
+        """The second side adds a space itself: it stands for the unit's own, or goes again."""
+        found = self.b.encode([u[u[0] == " " :] for u in units], num_threads=1)
+        return [f if u[0] != " " else f or [self.space] for u, f in zip(units, [f if u[0] == " " else f[1:] for u, f in zip(units, found)])]
 
     def _learn(self, units: list[str]) -> None:
-        for u, a, b in zip(units, self.a.encode_batch_fast(units, add_special_tokens=False), self.b.encode([u[1:] for u in units], num_threads=1)):
-            raw, whole = u.encode(), True
-            for side, ids, table in ((0, a.ids, self.bytes_a), (1, b, self.bytes_b)):
-                parts = [table[n] for n in ids]
-                whole = whole and b"".join(parts) == raw
-                self.tokens[side].append(np.array([ids, np.cumsum([len(p) for p in parts])], np.int32))
-                self.kept += len(ids)
-            self.known[u] = len(self.whole)
-            self.whole.append(whole)
-            self.size.append(len(raw))
-
-    def code(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each side (ids, ends, how many of each text)."""
-        if self.kept > self.keep_tokens:
+        raw = [u.encode() for u in units]
+        size = np.array([len(r) for r in raw], np.int64)
+        whole = np.ones(len(units), bool)
+        coded = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)], self._pieces(units)
+        for side, own in enumerate(coded):
+            counts = np.array([len(x) for x in own], np.int64)
+            ids = np.fromiter(chain.from_iterable(own), np.int32, counts.sum())
+            stops = np.cumsum(self.lengths[side][ids], dtype=np.int64)
+            last = np.cumsum(counts)
+            before = np.concatenate([[0], stops])[last - counts]  # bytes of the units before
+            table = self.bytes[side]
+            if b"".join(map(table.__getitem__, ids.tolist())) != b"".join(raw) or (np.concatenate([[0], stops])[last] - before != size).any():
+                whole &= [b"".join(table[n] for n in x) == r for x, r in zip(own, raw)]
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+            self.ends[side] = np.concatenate([self.ends[side], (stops - np.repeat(before, counts)).astype(np.int32)])
+            self.counts[side] = np.concatenate([self.counts[side], counts])
+        self.known.update(zip(units, range(len(self.size), len(self.size) + len(units))))
+        self.whole, self.size = np.concatenate([self.whole, whole]), np.concatenate([self.size, size])
+
+    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Numbers of the texts' units, how many each text has, ends of the distinct units, and for each side their tokens' (ids, ends); ends go on from unit to unit."""
+        if self.full or sum(map(len, self.ids)) > self.keep_tokens:
             self._clear()
-        pieces = [_UNIT.findall(f" {t}") if t else [] for t in texts]
-        new = list(set(chain.from_iterable(pieces)) - self.known.keys())
-        for i in range(0, len(new), 1000):
-            self._learn(new[i : i + 1000])
-        at = [np.array([self.known[u] for u in p], np.int64) for p in pieces]
-        whole = np.array(self.whole, bool)
-        at = [x if whole[x].all() or self._gives_back(x, t) else x[:0] for x, t in zip(at, texts)]
-        size = np.array(self.size, np.int64)
-        base = np.concatenate([np.cumsum(size[x]) - size[x] for x in at]) if at else np.zeros(0, np.int64)
-        every, out = np.concatenate(at) if at else np.zeros(0, np.int64), []
-        for side in self.tokens:
-            counts = np.array([t.shape[1] for t in side], np.int64)
-            starts, flat = np.cumsum(counts) - counts, np.concatenate(side, axis=1) if side else np.zeros((2, 0), np.int32)
-            n = counts[every]
-            spot = np.repeat(starts[every] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append((flat[0, spot], (flat[1, spot] + np.repeat(base, n)).astype(np.int32), np.array([counts[x].sum() for x in at], np.int64)))
-        if any(len(u) > self.long_unit for u in new):
-            self.kept = self.keep_tokens + 1  # long units are not kept beyond this batch
-        return out
+        units = [(_SPACED if self.odd(t) else _UNIT)(f" {t}") if t else [] for t in texts]
+        new = list(set(chain.from_iterable(units)) - self.known.keys())
+        if new:
+            self._learn(new)
+            self.full = max(map(len, new)) > self.long_unit  # long units are not kept beyond this batch
+        sizes = [len(u) for u in units]
+        every = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, sum(sizes))
+        if not self.whole[every].all():
+            parts = np.split(every, np.cumsum(sizes)[:-1])
+            parts = [x if self.whole[x].all() or self._gives_back(x, t) else x[:0] for x, t in zip(parts, texts)]
+            every, sizes = np.concatenate(parts), [len(x) for x in parts]
+        own, numbers = np.unique(every, return_inverse=True)
+        stops, sides = np.cumsum(self.size[own]), []
+        for ids, ends, counts in zip(self.ids, self.ends, self.counts):
+            starts, n = np.cumsum(counts) - counts, counts[own]
+            spot = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sides.append((ids[spot], ends[spot] + np.repeat(stops - self.size[own], n).astype(np.int32)))
+        return numbers.astype(np.int32), np.array(sizes, np.int32), stops.astype(np.int32), sides
 
     def _gives_back(self, units: np.ndarray, text: str) -> bool:
         """For texts with a unit that does not: whether the tokens of all together do."""
         raw = f" {text}".encode()
-        return all(b"".join(table[n] for u in units for n in side[u][0].tolist()) == raw for side, table in zip(self.tokens, (self.bytes_a, self.bytes_b)))
+        starts = [np.cumsum(c) - c for c in self.counts]
+        tokens = lambda side: (n for u in units for n in self.ids[side][starts[side][u] :][: self.counts[side][u]].tolist())
+        return all(b"".join(map(self.bytes[side].__getitem__, tokens(side))) == raw for side in (0, 1))
 
 
 #: A worker process keeps its coder from one task to the next.
 _coders: dict[str, Coder] = {}
 
 
-def _coded(spark: SparkSession, docs: DataFrame, arrays: list[str], json_path: str, model_path: str, keep_text: bool, block_bytes: int) -> DataFrame:
-    """docs with the ids and ends of both sides, named as arrays says; the vocabulary files are read on the driver and sent out, their size is independent of the corpus."""
-    bounded_batches(spark)
+def _coded(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, block_bytes: int) -> DataFrame:
+    """(docs, ue, ia, ea, ib, eb): a row for each block. The vocabulary files are read on the driver and sent out; their size is independent of the corpus."""
+    bounded_batches(spark, rows=2000)
     with open(json_path, encoding="utf-8") as f, open(model_path, "rb") as g:
         files = f.read(), g.read()
     digest = hashlib.sha256(files[0].encode() + files[1]).hexdigest()
     shared = spark.sparkContext.broadcast(files)
-    kept = _without(docs, *([] if keep_text else ["text"]), "ids_a", "ids_b", "groups")
-    raw = fresh(kept.columns, "raw")[0]
+    kept = _without(docs, *_MADE)
+    raw, units = fresh(kept.columns, "raw", "units")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("text").cast("binary").alias(raw))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{c} array<int>" for c in arrays])
-    names = [*kept.columns, *arrays]
+    fields = ", ".join([f"`{f.name}`: {f.dataType.simpleString()}" for f in kept.schema] + [f"{units}: array<int>"])
+    names = [*kept.columns, units]
+
+    def listed(values: pa.Array, counts: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if digest not in _coders:
@@ -139,13 +168,12 @@ def _coded(spark: SparkSession, docs: DataFrame, arrays: list[str], json_path: s
             texts = b.column(b.num_columns - 1)
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for i, j in _parts(sizes, block_bytes):
-                made = []
-                for ids, ends, counts in _coders[digest].code([(x.as_py() or b"").decode("utf-8", "replace") for x in texts.slice(i, j - i)]):
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                    made += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ids, ends)]
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)], *made], names)
+                numbers, counts, stops, sides = _coders[digest].code([(x.as_py() or b"").decode("utf-8", "replace") for x in texts.slice(i, j - i)])
+                members = pa.StructArray.from_arrays([*[b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)], listed(pa.array(numbers), counts)], names)
+                arrays = [listed(pa.array(v), np.array([len(v)])) for v in (stops, *sides[0], *sides[1])]
+                yield pa.RecordBatch.from_arrays([listed(members, np.array([j - i])), *arrays], ["docs", "ue", "ia", "ea", "ib", "eb"])
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(work, f"docs array<struct<{fields}>>, ue array<int>, ia array<int>, ea array<int>, ib array<int>, eb array<int>")
 
 
 def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -158,57 +186,89 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _cuts(ends: str, common: str) -> Column:
-    """Places of the tokens of one side that end where tokens of the other end, too. Each stands beside its equal in the sorted array, and g earlier ones before it."""
-    return _let(
-        F.sort_array(F.concat(ends, common)),
-        lambda m: F.when(F.size(m) > 1, F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.get(m, k) == F.get(m, k + 1)), lambda k, g: k - g)).otherwise(F.array().cast("array<int>")),
-    )
+def _places(ends: str, common: str) -> Column:
+    """Where ends that are common stand: in the sorted array each is beside its equal, and the g-th has g earlier ones before it, so its place among the ends is g less."""
+    return _let(F.sort_array(F.concat(ends, common)), lambda m: F.when(F.size(m) > 1, F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.get(m, k) == F.get(m, k + 1))).otherwise(_none("int")))
 
 
-def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, keep_text: bool = True, block_bytes: int = 1_000_000) -> DataFrame:
-    """docs with ``ids_a``, ``ids_b`` (array<int>) and ``groups`` (array<struct<a array<int>, b array<int>>>), the ids between neighbouring common ends.
-
-    a is the byte-level vocabulary of a tokenizers file, on the text after one space; b the pieces of a sentencepiece model, which adds that space itself.
-    """
-    ia, ea, ib, eb, common, cuts = fresh(docs.columns, *_ARRAYS, "common", "cuts")
-    coded = _coded(spark, docs, [ia, ea, ib, eb], json_path, model_path, keep_text, block_bytes)
-    kept = [F.col(f"`{c}`") for c in coded.columns if c not in (ia, ea, ib, eb)]
-    rows = _settled(coded, common, F.array_intersect(ea, eb))
-    rows = _settled(rows, cuts, F.struct(_cuts(ea, common).alias("a"), _cuts(eb, common).alias("b")))
-    ids = lambda side, own, g: F.transform(F.sequence(F.coalesce(F.get(f"{cuts}.{side}", g - 1) + 1, F.lit(0)), F.get(f"{cuts}.{side}", g)), lambda i: F.get(own, i))
-    groups = F.transform(f"{cuts}.a", lambda _, g: F.struct(ids("a", ia, g).alias("a"), ids("b", ib, g).alias("b")))
-    return _settled(rows, "groups", groups).select(*kept, F.col(ia).alias("ids_a"), F.col(ib).alias("ids_b"), "groups")
+def _none(of: str) -> Column:
+    return F.array().cast(f"array<{of}>")
 
 
 def _pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
-def _ends_of_runs(t) -> Column:
-    """Of a sorted array, the numbers of elements up to the end of each run of equals."""
-    return F.when(F.size(t) > 0, F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: ~F.equal_null(F.get(t, i - 1), F.get(t, i)))).otherwise(F.array().cast("array<int>"))
+def _counted(ids: Column) -> Column:
+    """(id, times) of the distinct ids of an array."""
+    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: ~F.equal_null(F.get(s, i - 1), F.get(s, i)))
+    runs = lambda s, e: F.transform(e, lambda x, j: F.struct(F.get(s, x - 1).alias("id"), (x - F.coalesce(F.get(e, j - 1), F.lit(0))).cast("long").alias("times")))
+    return _let(F.sort_array(ids), lambda s: _let(ends(s), lambda e: runs(s, e)))
 
 
-def _runs(t, ends, name: str) -> Column:
-    """Of a sorted array and its runs' ends: (element, times)."""
-    return F.transform(ends, lambda e, j: F.struct(F.get(t, e - 1).alias(name), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).cast("long").alias("times")))
+def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, finish=lambda aligned: aligned, block_bytes: int = 4_000_000) -> DataFrame:
+    """docs with n_a, n_b, n_groups, n_links (long), aligned, links and many_links.
 
+    ``aligned`` has the ids between neighbouring common ends, as ``a1,a2|b1;a3|b2,b3``, or what ``finish`` makes of that, a digest say; ``groups_of`` reads it. ``links`` array<long> has an entry
+    a << 32 | b for each link, ``many_links`` array<struct<pair long, times long>> those of large groups. a is the byte-level vocabulary of a tokenizers file, on the text after one space; b the
+    pieces of a sentencepiece model, which adds that space itself.
+    """
+    coded = _coded(spark, docs, json_path, model_path, block_bytes)
+    rows = _settled(coded, "common", F.array_intersect("ea", "eb"))
+    rows = _settled(rows, "at", F.struct(_places("ea", "common").alias("a"), _places("eb", "common").alias("b"), _places("common", "ue").alias("u")))
 
-def _counted(ids: Column) -> Column:
-    return _let(F.sort_array(ids), lambda s: _let(_ends_of_runs(s), lambda ends: _runs(s, ends, "id")))
+    # Groups of the distinct units. Most have one token of each side.
+    last = lambda side, g: F.get(f"at.{side}", g) - g
+    before = lambda side, g: F.coalesce(F.get(f"at.{side}", g - 1) - (g - 1), F.lit(-1))
 
+    def ids(side: str, own: str, g: Column) -> Column:
+        return F.when(last(side, g) - before(side, g) == 1, F.array(F.get(own, last(side, g)))).otherwise(F.transform(F.sequence(before(side, g) + 1, last(side, g)), lambda i: F.get(own, i)))
 
-def with_links(aligned: DataFrame) -> DataFrame:
-    """aligned with ``links``: array<struct<pair long, times long>>, id pairs (a << 32 | b) and how often the text links them; a pair may stand in two entries."""
-    pairs = lambda x: F.flatten(F.transform(x["a"], lambda p: F.transform(x["b"], lambda q: _pair(p, q))))
+    rows = _settled(rows, "groups", F.transform("at.a", lambda _, g: F.struct(ids("a", "ia", g).alias("a"), ids("b", "ib", g).alias("b")))).drop("ia", "ea", "ib", "eb", "ue", "common")
+
+    # Their text: an array's own text with other separators, cut at the groups.
+    text = F.col("groups").cast("string")
+    for old, new in (("}, {", ";"), ("], [", "|"), (", ", ",")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    one = lambda x: (F.size(x["a"]) == 1) & (F.size(x["b"]) == 1)
     many = lambda x: F.size(x["a"]).cast("long") * F.size(x["b"]) > PLAIN_LINKS
-    plain = F.flatten(F.transform("groups", lambda x: F.when(many(x), F.array().cast("array<long>")).otherwise(pairs(x))))
+    pairs = lambda x: F.flatten(F.transform(x["a"], lambda p: F.transform(x["b"], lambda q: _pair(p, q))))
+    first = lambda c: F.get(c, F.lit(0))
+    plain = F.transform("groups", lambda x: F.when(one(x), F.array(_pair(first(x["a"]), first(x["b"])))).when(many(x), _none("long")).otherwise(pairs(x)))
     crossed = lambda ra, rb: F.flatten(F.transform(ra, lambda p: F.transform(rb, lambda q: F.struct(_pair(p["id"], q["id"]).alias("pair"), (p["times"] * q["times"]).alias("times")))))
-    large = F.flatten(F.transform(F.filter("groups", many), lambda x: _let(_counted(x["a"]), lambda ra: _let(_counted(x["b"]), lambda rb: crossed(ra, rb)))))
-    t, ends = fresh(aligned.columns, "t", "ends")
-    rows = _settled(_settled(_without(aligned, "links"), t, F.sort_array(plain)), ends, _ends_of_runs(t))
-    return _settled(rows, "links", F.concat(_runs(t, ends, "pair"), large)).drop(t, ends)
+    counted = lambda x: _let(_counted(x["a"]), lambda ra: _let(_counted(x["b"]), lambda rb: crossed(ra, rb)))
+    any_many = F.exists("groups", many)
+    large = F.when(any_many, F.transform("groups", lambda x: F.when(many(x), counted(x)).otherwise(_none("struct<pair: long, times: long>"))))
+    rows = _settled(rows, "of_group", F.struct(F.split(F.translate(text, "[]{}", ""), ";").alias("text"), plain.alias("links"), large.alias("large"))).drop("groups")
+
+    # Units from their groups, documents from their units.
+    def unit(u: Column) -> Column:
+        g0, g1 = F.coalesce(F.get("at.u", u - 1) - (u - 1), F.lit(-1)) + 1, F.get("at.u", u) - u
+        of = lambda c: F.transform(F.sequence(g0, g1), lambda g: F.get(f"of_group.{c}", g))
+        n = lambda side: (last(side, g1) - before(side, g0)).alias(f"n_{side}")
+        return F.struct(F.array_join(of("text"), ";").alias("text"), F.flatten(of("links")).alias("links"), F.when(F.col("of_group.large").isNotNull(), F.flatten(of("large"))).alias("large"), n("a"), n("b"), (g1 - g0 + 1).alias("n"))
+
+    rows = _settled(rows, "units", F.transform("at.u", lambda _, u: unit(u))).select("docs", "units", F.col("of_group.large").isNotNull().alias("any_many"))
+    kept = _without(docs, *_MADE).columns
+    own = coded.schema["docs"].dataType.elementType.names[-1]
+
+    def document(d: Column) -> Column:
+        of = lambda c: F.transform(d[own], lambda u: F.get("units", u)[c])
+        total = lambda c: F.aggregate(d[own], F.lit(0).cast("long"), lambda n, u: n + F.get("units", u)[c])
+        done = finish(F.array_join(of("text"), ";"))
+        large = F.when(F.col("any_many"), F.flatten(of("large"))).otherwise(_none("struct<pair: long, times: long>"))
+        made = [total("n_a").alias("n_a"), total("n_b").alias("n_b"), total("n").alias("n_groups"), done.alias("aligned"), F.flatten(of("links")).alias("links"), large.alias("many_links")]
+        return F.struct(*[d[c].alias(c) for c in kept], *made)
+
+    out = rows.select(F.explode(F.transform("docs", document)).alias("d")).select("d.*")
+    n_links = F.size("links") + F.aggregate("many_links", F.lit(0).cast("long"), lambda n, x: n + x["times"])
+    return out.select(*[F.col(f"`{c}`") for c in kept], "n_a", "n_b", "n_groups", n_links.alias("n_links"), "aligned", "links", "many_links")
+
+
+def groups_of(aligned: Column) -> Column:
+    """array<struct<a array<int>, b array<int>>> of an alignment's text."""
+    ids = lambda x, i: F.split(F.get(F.split(x, r"\|"), F.lit(i)), ",").cast("array<int>")
+    return F.when(aligned == "", F.array().cast("array<struct<a: array<int>, b: array<int>>>")).otherwise(F.transform(F.split(aligned, ";"), lambda x: F.struct(ids(x, 0).alias("a"), ids(x, 1).alias("b"))))
 
 
 def pair_counts(spark: SparkSession, rows: DataFrame) -> Stash:
@@ -216,36 +276,27 @@ def pair_counts(spark: SparkSession, rows: DataFrame) -> Stash:
 
     Pairs are distinct within a row's array before they are counted. A window holds the pairs of one id, at most as many as the other vocabulary has.
     """
-    counts = rows.select(F.explode(F.array_distinct("links.pair")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))
+    counts = rows.select(F.explode(F.array_distinct(F.concat("links", "many_links.pair"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     return Stash(spark, counts.withColumn("best", F.col("docs") == most), "pairs")
 
 
 def link_sums(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
-    """(key, n_best, count_sum) of each row (key, links) that has a link: links whose count is the highest of their a, and the counts' sum."""
+    """(key, n_best, count_sum) of each row (key, links, many_links) that has a link: links whose count is the highest of their a, and the counts' sum."""
     counts = pair_counts(spark, rows).df
     top = Stash(spark, counts.orderBy(F.desc("docs"), "pair").limit(BROADCAST_PAIRS), "top").df
-    links = rows.select(key, F.explode("links").alias("l")).select(key, "l.pair", "l.times")
+    links = rows.select(key, F.explode("links").alias("pair")).withColumn("times", F.lit(1).cast("long"))
+    links = links.unionByName(rows.where(F.size("many_links") > 0).select(key, F.inline("many_links")))
     sums = F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum")
     frequent = links.join(F.broadcast(top), "pair").groupBy(key).agg(*sums)
     rest = links.join(F.broadcast(top.select("pair")), "pair", "left_anti").join(counts, "pair").groupBy(key).agg(*sums)
     return frequent.unionByName(rest).groupBy(key).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
-def alignment_scores(spark: SparkSession, aligned: DataFrame, *columns: Column | str) -> DataFrame:
-    """For each row of aligned: columns, and n_a, n_b, n_groups, n_links, n_best, count_sum (long). Written once, so that texts are coded once."""
-    of = lambda c: F.size(c).cast("long")
-    linked = with_links(aligned)
-    n_links = F.aggregate("links", F.lit(0).cast("long"), lambda n, x: n + x["times"])
-    own = linked.select(*columns, of("ids_a").alias("n_a"), of("ids_b").alias("n_b"), of("groups").alias("n_groups"), n_links.alias("n_links"), "links")
-    row = fresh(own.columns, "row")[0]
-    rows = Stash(spark, own.withColumn(row, F.monotonically_increasing_id()), "links").df
+def with_link_sums(spark: SparkSession, aligned: DataFrame) -> DataFrame:
+    """aligned without links and many_links, with n_best and count_sum (long). Written first, so that texts are coded once."""
+    row = fresh(aligned.columns, "row")[0]
+    rows = Stash(spark, aligned.withColumn(row, F.monotonically_increasing_id()), "links").df
     sums = link_sums(spark, rows, row)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.drop("links").join(sums, row, "left").select(*[F.col(f"`{c}`") for c in own.columns if c != "links"], zero("n_best"), zero("count_sum"))
-
-
-def groups_text(groups: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: ids of a and b by group."""
-    joined = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda x: F.concat(joined(x["a"]), F.lit("|"), joined(x["b"]))), ";")
+    return rows.drop("links", "many_links").join(sums, row, "left").select(*[F.col(f"`{c}`") for c in aligned.columns if c not in ("links", "many_links")], zero("n_best"), zero("count_sum"))

@@ -101,11 +101,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    aligned = align.align(spark, docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"), keep_text=False)
-    digest = F.when(F.size("groups") > 0, F.sha2(align.groups_text(F.col("groups")).cast("binary"), 256)).otherwise("").alias("groups_sha256")
-    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    return align.alignment_scores(spark, aligned, F.col("doc_id").cast("long").alias("doc_id"), digest).select(*columns)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    digest = lambda text: F.when(text != "", F.sha2(text.cast("binary"), 256)).otherwise("")
+    aligned = align.align(spark, docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"), finish=digest)
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("aligned").alias("groups_sha256")]
+    return align.with_link_sums(spark, aligned.drop("text")).select(*columns)
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

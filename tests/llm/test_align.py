@@ -4,10 +4,12 @@ import itertools
 import os
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from pageloom.llm import align, queries
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,7 +86,7 @@ def test_odd_texts(spark, libraries, tmp_path):
     assert sorted(map(tuple, queries.op11_token_alignment(spark, str(tmp_path)).collect()), key=key) == sorted(slow(libraries, docs), key=key)
 
 
-@pytest.mark.parametrize(("plain", "sent"), [(0, 3), (4, 200_000), (256, 0)])
+@pytest.mark.parametrize(("plain", "sent"), [(1, 3), (4, 200_000), (256, 0)])
 def test_large_groups_and_rare_pairs(spark, libraries, monkeypatch, tmp_path, plain, sent):
     """Counting by distinct ids, and joining counts instead of sending them, change nothing."""
     monkeypatch.setattr(align, "PLAIN_LINKS", plain)
@@ -99,16 +101,19 @@ def test_every_code_point_and_small_cache(libraries):
     chars = [chr(c) for c in range(1, 0x3400) if c != 0x2581]
     texts = ["".join(f"a{c} {c}b{c}" for c in chars[i : i + 400]) for i in range(0, len(chars), 400)]
     for i in range(0, len(texts), 3):
-        got = coder.code(texts[i : i + 3])
-        for side in (0, 1):
-            want = [slow_tokens(libraries, t)[side] for t in texts[i : i + 3]]
-            assert got[side][0].tolist() == [n for w in want for n, _ in w]
-            assert got[side][1].tolist() == [e for w in want for e in itertools.accumulate(len(t) for _, t in w)]
-
-
-def test_columns_and_empty_table(spark):
-    df = spark.createDataFrame([(1, "ab c", "x", 3, 4)], "doc_id long, text string, groups string, _ia int, links int")
-    got = align.align(spark, df, JSON, MODEL)
-    assert got.columns == ["doc_id", "text", "_ia", "links", "ids_a", "ids_b", "groups"]
-    assert got.first()["groups"] and got.first()["_ia"] == 3
-    assert align.alignment_scores(spark, align.align(spark, df.limit(0), JSON, MODEL), "doc_id").count() == 0
+        numbers, counts, stops, sides = coder.code(texts[i : i + 3])
+        for side, (ids, ends) in enumerate(sides):
+            units = [[] for _ in stops]
+            for n, e in zip(ids.tolist(), np.searchsorted(stops, ends).tolist()):
+                units[e].append(n)
+            want = [n for t in texts[i : i + 3] for n, _ in slow_tokens(libraries, t)[side]]
+            assert [n for u in numbers.tolist() for n in units[u]] == want and len(numbers) == counts.sum()
+
+
+def test_columns_and_empty_table(spark, libraries):
+    df = spark.createDataFrame([(1, "ab c", "x", 3, 4), (2, None, "y", 5, 6)], "doc_id long, text string, links string, _units int, row int")
+    made = align.align(spark, df, JSON, MODEL, block_bytes=1)
+    assert made.columns == ["doc_id", "text", "_units", "row", "n_a", "n_b", "n_groups", "n_links", "aligned", "links", "many_links"]
+    got = made.select("*", align.groups_of(F.col("aligned")).alias("groups")).orderBy("doc_id").collect()
+    assert [[(x.a, x.b) for x in r.groups] for r in got] == [[tuple(x) for x in slow_groups(*slow_tokens(libraries, t))] for t in ("ab c", None)] and got[0]["_units"] == 3
+    assert align.with_link_sums(spark, align.align(spark, df.limit(0), JSON, MODEL)).count() == 0

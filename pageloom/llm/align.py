@@ -109,8 +109,8 @@ class Coder:
         self.known.update(zip(units, range(len(self.size), len(self.size) + len(units))))
         self.whole, self.size = np.concatenate([self.whole, whole]), np.concatenate([self.size, size])
 
-    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Numbers of the texts' units, how many each text has, ends of the distinct units, and for each side their tokens' (ids, ends); ends go on from unit to unit."""
+    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Numbers of the texts' units, how many each text has, ends of the distinct units, and for each side their tokens' (ids, ends), which go on from unit to unit, and the tokens of each text."""
         if self.full or sum(map(len, self.ids)) > self.keep_tokens:
             self._clear()
         units = [(_SPACED if self.odd(t) else _UNIT)(f" {t}") if t else [] for t in texts]
@@ -125,11 +125,12 @@ class Coder:
             parts = [x if self.whole[x].all() or self._gives_back(x, t) else x[:0] for x, t in zip(parts, texts)]
             every, sizes = np.concatenate(parts), [len(x) for x in parts]
         own, numbers = np.unique(every, return_inverse=True)
+        of_text = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         stops, sides = np.cumsum(self.size[own]), []
         for ids, ends, counts in zip(self.ids, self.ends, self.counts):
             starts, n = np.cumsum(counts) - counts, counts[own]
             spot = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            sides.append((ids[spot], ends[spot] + np.repeat(stops - self.size[own], n).astype(np.int32)))
+            sides.append((ids[spot], ends[spot] + np.repeat(stops - self.size[own], n).astype(np.int32), np.diff(np.concatenate([[0], np.cumsum(counts[every])])[of_text])))
         return numbers.astype(np.int32), np.array(sizes, np.int32), stops.astype(np.int32), sides
 
     def _gives_back(self, units: np.ndarray, text: str) -> bool:
@@ -152,10 +153,10 @@ def _coded(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str
     digest = hashlib.sha256(files[0].encode() + files[1]).hexdigest()
     shared = spark.sparkContext.broadcast(files)
     kept = _without(docs, *_MADE)
-    raw, units = fresh(kept.columns, "raw", "units")
+    raw, units, n_a, n_b = fresh(kept.columns, "raw", "units", "n_a", "n_b")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("text").cast("binary").alias(raw))
-    fields = ", ".join([f"`{f.name}`: {f.dataType.simpleString()}" for f in kept.schema] + [f"{units}: array<int>"])
-    names = [*kept.columns, units]
+    fields = ", ".join([f"`{f.name}`: {f.dataType.simpleString()}" for f in kept.schema] + [f"{units}: array<int>, {n_a}: long, {n_b}: long"])
+    names = [*kept.columns, units, n_a, n_b]
 
     def listed(values: pa.Array, counts: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
@@ -169,16 +170,16 @@ def _coded(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for i, j in _parts(sizes, block_bytes):
                 numbers, counts, stops, sides = _coders[digest].code([(x.as_py() or b"").decode("utf-8", "replace") for x in texts.slice(i, j - i)])
-                members = pa.StructArray.from_arrays([*[b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)], listed(pa.array(numbers), counts)], names)
-                arrays = [listed(pa.array(v), np.array([len(v)])) for v in (stops, *sides[0], *sides[1])]
+                members = pa.StructArray.from_arrays([*[b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)], listed(pa.array(numbers), counts), *[pa.array(x[2], pa.int64()) for x in sides]], names)
+                arrays = [listed(pa.array(v), np.array([len(v)])) for v in (stops, *sides[0][:2], *sides[1][:2])]
                 yield pa.RecordBatch.from_arrays([listed(members, np.array([j - i])), *arrays], ["docs", "ue", "ia", "ea", "ib", "eb"])
 
     return rows.mapInArrow(work, f"docs array<struct<{fields}>>, ue array<int>, ia array<int>, ea array<int>, ib array<int>, eb array<int>")
 
 
-def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once for each row: a generator keeps Catalyst from putting its expression into the lambdas that read it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row: a generator keeps Catalyst from putting their expressions into the lambdas that read them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def _let(value: Column, body) -> Column:
@@ -187,8 +188,9 @@ def _let(value: Column, body) -> Column:
 
 
 def _places(ends: str, common: str) -> Column:
-    """Where ends that are common stand: in the sorted array each is beside its equal, and the g-th has g earlier ones before it, so its place among the ends is g less."""
-    return _let(F.sort_array(F.concat(ends, common)), lambda m: F.when(F.size(m) > 1, F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.get(m, k) == F.get(m, k + 1))).otherwise(_none("int")))
+    """Where ends that are common stand, after a first one of -2: in the sorted array each is beside its equal, and the g-th has g earlier ones before it, so its place among the ends is g less."""
+    found = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.get(m, k) == F.get(m, k + 1))
+    return F.concat(F.array(F.lit(-2)), _let(F.sort_array(F.concat(ends, common)), lambda m: F.when(F.size(m) > 1, found(m)).otherwise(_none("int"))))
 
 
 def _none(of: str) -> Column:
@@ -214,53 +216,55 @@ def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str,
     pieces of a sentencepiece model, which adds that space itself.
     """
     coded = _coded(spark, docs, json_path, model_path, block_bytes)
-    rows = _settled(coded, "common", F.array_intersect("ea", "eb"))
-    rows = _settled(rows, "at", F.struct(_places("ea", "common").alias("a"), _places("eb", "common").alias("b"), _places("common", "ue").alias("u")))
-
-    # Groups of the distinct units. Most have one token of each side.
-    last = lambda side, g: F.get(f"at.{side}", g) - g
-    before = lambda side, g: F.coalesce(F.get(f"at.{side}", g - 1) - (g - 1), F.lit(-1))
-
-    def ids(side: str, own: str, g: Column) -> Column:
-        return F.when(last(side, g) - before(side, g) == 1, F.array(F.get(own, last(side, g)))).otherwise(F.transform(F.sequence(before(side, g) + 1, last(side, g)), lambda i: F.get(own, i)))
-
-    rows = _settled(rows, "groups", F.transform("at.a", lambda _, g: F.struct(ids("a", "ia", g).alias("a"), ids("b", "ib", g).alias("b")))).drop("ia", "ea", "ib", "eb", "ue", "common")
-
-    # Their text: an array's own text with other separators, cut at the groups.
-    text = F.col("groups").cast("string")
-    for old, new in (("}, {", ";"), ("], [", "|"), (", ", ",")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    one = lambda x: (F.size(x["a"]) == 1) & (F.size(x["b"]) == 1)
-    many = lambda x: F.size(x["a"]).cast("long") * F.size(x["b"]) > PLAIN_LINKS
-    pairs = lambda x: F.flatten(F.transform(x["a"], lambda p: F.transform(x["b"], lambda q: _pair(p, q))))
-    first = lambda c: F.get(c, F.lit(0))
-    plain = F.transform("groups", lambda x: F.when(one(x), F.array(_pair(first(x["a"]), first(x["b"])))).when(many(x), _none("long")).otherwise(pairs(x)))
-    crossed = lambda ra, rb: F.flatten(F.transform(ra, lambda p: F.transform(rb, lambda q: F.struct(_pair(p["id"], q["id"]).alias("pair"), (p["times"] * q["times"]).alias("times")))))
-    counted = lambda x: _let(_counted(x["a"]), lambda ra: _let(_counted(x["b"]), lambda rb: crossed(ra, rb)))
-    any_many = F.exists("groups", many)
-    large = F.when(any_many, F.transform("groups", lambda x: F.when(many(x), counted(x)).otherwise(_none("struct<pair: long, times: long>"))))
-    rows = _settled(rows, "of_group", F.struct(F.split(F.translate(text, "[]{}", ""), ";").alias("text"), plain.alias("links"), large.alias("large"))).drop("groups")
-
-    # Units from their groups, documents from their units.
-    def unit(u: Column) -> Column:
-        g0, g1 = F.coalesce(F.get("at.u", u - 1) - (u - 1), F.lit(-1)) + 1, F.get("at.u", u) - u
-        of = lambda c: F.transform(F.sequence(g0, g1), lambda g: F.get(f"of_group.{c}", g))
-        n = lambda side: (last(side, g1) - before(side, g0)).alias(f"n_{side}")
-        return F.struct(F.array_join(of("text"), ";").alias("text"), F.flatten(of("links")).alias("links"), F.when(F.col("of_group.large").isNotNull(), F.flatten(of("large"))).alias("large"), n("a"), n("b"), (g1 - g0 + 1).alias("n"))
-
-    rows = _settled(rows, "units", F.transform("at.u", lambda _, u: unit(u))).select("docs", "units", F.col("of_group.large").isNotNull().alias("any_many"))
+    rows = _settled(coded, common=F.array_intersect("ea", "eb"))
+    rows = _settled(rows, pa=_places("ea", "common"), pb=_places("eb", "common"), pu=_places("common", "ue"), sa=F.col("ia").cast("array<string>"), sb=F.col("ib").cast("array<string>"))
+
+    # Tokens of group g, and groups of unit u, from 0: how many, and the first one's place.
+    n_of = lambda p, g: F.get(p, g + 1) - F.get(p, g) - 1
+    first_of = lambda p, g: F.get(p, g) + 2 - g
+    run = lambda start, n: F.sequence(start, start + n - 1)
+    part = lambda values, p, g: F.transform(run(first_of(p, g), n_of(p, g)), lambda i: F.get(values, i))
+    pairs = lambda g: F.flatten(F.transform(part("ia", "pa", g), lambda x: F.transform(part("ib", "pb", g), lambda y: _pair(x, y))))
+    many = lambda g: n_of("pa", g).cast("long") * n_of("pb", g) > PLAIN_LINKS
+    crossed = lambda ra, rb: F.flatten(F.transform(ra, lambda x: F.transform(rb, lambda y: F.struct(_pair(x["id"], y["id"]).alias("pair"), (x["times"] * y["times"]).alias("times")))))
+    counted = lambda g: _let(_counted(part("ia", "pa", g)), lambda ra: _let(_counted(part("ib", "pb", g)), lambda rb: crossed(ra, rb)))
+
+    def by_unit(plain, otherwise) -> Column:
+        """For each unit: plain(first a, first b, n) where all its groups have one token of each side, as most have, else otherwise(its groups)."""
+
+        def unit(u: Column) -> Column:
+            g, n = first_of("pu", u), n_of("pu", u)
+            a, b = first_of("pa", g), first_of("pb", g)
+            single = (first_of("pa", g + n) - a == n) & (first_of("pb", g + n) - b == n)
+            return F.when(single, plain(a, b, n)).otherwise(otherwise(run(g, n)))
+
+        return F.when(F.size("pu") > 1, F.transform(F.sequence(F.lit(0), F.size("pu") - 2), unit))
+
+    texts = by_unit(
+        lambda a, b, n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get("sa", a + i), F.lit("|"), F.get("sb", b + i))), ";"),
+        lambda groups: F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(part("sa", "pa", g), ","), F.lit("|"), F.array_join(part("sb", "pb", g), ","))), ";"),
+    )
+    links = by_unit(
+        lambda a, b, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pair(F.get("ia", a + i), F.get("ib", b + i))),
+        lambda groups: F.flatten(F.transform(groups, lambda g: F.when(many(g), _none("long")).otherwise(pairs(g)))),
+    )
+    none = _none("struct<pair: long, times: long>")
+    many_links = by_unit(lambda *_: none, lambda groups: F.flatten(F.transform(F.filter(groups, many), counted)))
+    groups = F.when(F.size("pu") > 1, F.transform(F.sequence(F.lit(0), F.size("pu") - 2), lambda u: n_of("pu", u)))
+    rows = _settled(rows, texts=texts, links=links, many_links=many_links, groups=groups).withColumn("any_many", F.exists("many_links", lambda x: F.size(x) > 0))
+
+    # Documents from their units.
     kept = _without(docs, *_MADE).columns
-    own = coded.schema["docs"].dataType.elementType.names[-1]
+    units, n_a, n_b = coded.schema["docs"].dataType.elementType.names[-3:]
 
     def document(d: Column) -> Column:
-        of = lambda c: F.transform(d[own], lambda u: F.get("units", u)[c])
-        total = lambda c: F.aggregate(d[own], F.lit(0).cast("long"), lambda n, u: n + F.get("units", u)[c])
-        done = finish(F.array_join(of("text"), ";"))
-        large = F.when(F.col("any_many"), F.flatten(of("large"))).otherwise(_none("struct<pair: long, times: long>"))
-        made = [total("n_a").alias("n_a"), total("n_b").alias("n_b"), total("n").alias("n_groups"), done.alias("aligned"), F.flatten(of("links")).alias("links"), large.alias("many_links")]
+        of = lambda c: F.transform(d[units], lambda u: F.get(c, u))
+        n_groups = F.aggregate(d[units], F.lit(0).cast("long"), lambda n, u: n + F.get("groups", u))
+        more = F.when(F.col("any_many"), F.flatten(of("many_links"))).otherwise(none)
+        made = [d[n_a].alias("n_a"), d[n_b].alias("n_b"), n_groups.alias("n_groups"), finish(F.array_join(of("texts"), ";")).alias("aligned"), F.flatten(of("links")).alias("links"), more.alias("many_links")]
         return F.struct(*[d[c].alias(c) for c in kept], *made)
 
-    out = rows.select(F.explode(F.transform("docs", document)).alias("d")).select("d.*")
+    out = rows.select(F.inline(F.transform("docs", document)))
     n_links = F.size("links") + F.aggregate("many_links", F.lit(0).cast("long"), lambda n, x: n + x["times"])
     return out.select(*[F.col(f"`{c}`") for c in kept], "n_a", "n_b", "n_groups", n_links.alias("n_links"), "aligned", "links", "many_links")
 

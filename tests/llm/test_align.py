@@ -102,7 +102,7 @@ def test_every_code_point_and_small_cache(libraries):
     texts = ["".join(f"a{c} {c}b{c}" for c in chars[i : i + 400]) for i in range(0, len(chars), 400)]
     for i in range(0, len(texts), 3):
         numbers, counts, stops, sides = coder.code(texts[i : i + 3])
-        for side, (ids, ends) in enumerate(sides):
+        for side, (ids, ends, _) in enumerate(sides):
             units = [[] for _ in stops]
             for n, e in zip(ids.tolist(), np.searchsorted(stops, ends).tolist()):
                 units[e].append(n)

@@ -229,29 +229,28 @@ def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str,
     crossed = lambda ra, rb: F.flatten(F.transform(ra, lambda x: F.transform(rb, lambda y: F.struct(_pair(x["id"], y["id"]).alias("pair"), (x["times"] * y["times"]).alias("times")))))
     counted = lambda g: _let(_counted(part("ia", "pa", g)), lambda ra: _let(_counted(part("ib", "pb", g)), lambda rb: crossed(ra, rb)))
 
-    def by_unit(plain, otherwise) -> Column:
-        """For each unit: plain(first a, first b, n) where all its groups have one token of each side, as most have, else otherwise(its groups)."""
-
-        def unit(u: Column) -> Column:
-            g, n = first_of("pu", u), n_of("pu", u)
-            a, b = first_of("pa", g), first_of("pb", g)
-            single = (first_of("pa", g + n) - a == n) & (first_of("pb", g + n) - b == n)
-            return F.when(single, plain(a, b, n)).otherwise(otherwise(run(g, n)))
+    # What lambdas read is bound to values before: an expression would be computed for each token.
+    places = lambda w: F.struct(w["g"].alias("g"), w["n"].alias("n"), first_of("pa", w["g"]).alias("a"), first_of("pb", w["g"]).alias("b"), first_of("pa", w["g"] + w["n"]).alias("to_a"), first_of("pb", w["g"] + w["n"]).alias("to_b"))
+    bound = lambda u: _let(F.struct(first_of("pu", u).alias("g"), n_of("pu", u).alias("n")), places)
+    rows = _settled(rows, at=F.when(F.size("pu") > 1, F.transform(F.sequence(F.lit(0), F.size("pu") - 2), bound)))
+    single = lambda v: (v["to_a"] - v["a"] == v["n"]) & (v["to_b"] - v["b"] == v["n"])
 
-        return F.when(F.size("pu") > 1, F.transform(F.sequence(F.lit(0), F.size("pu") - 2), unit))
+    def by_unit(plain, otherwise) -> Column:
+        """For each unit: plain(places of its a tokens, how much further its b tokens stand) where all groups have one token of each side, as most have, else otherwise(its groups)."""
+        return F.transform("at", lambda v: F.when(single(v), _let(v["b"] - v["a"], lambda shift: plain(run(v["a"], v["n"]), shift))).otherwise(otherwise(run(v["g"], v["n"]))))
 
     texts = by_unit(
-        lambda a, b, n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get("sa", a + i), F.lit("|"), F.get("sb", b + i))), ";"),
+        lambda places, shift: F.array_join(F.transform(places, lambda i: F.concat(F.get("sa", i), F.lit("|"), F.get("sb", i + shift))), ";"),
         lambda groups: F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(part("sa", "pa", g), ","), F.lit("|"), F.array_join(part("sb", "pb", g), ","))), ";"),
     )
     links = by_unit(
-        lambda a, b, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pair(F.get("ia", a + i), F.get("ib", b + i))),
+        lambda places, shift: F.transform(places, lambda i: _pair(F.get("ia", i), F.get("ib", i + shift))),
         lambda groups: F.flatten(F.transform(groups, lambda g: F.when(many(g), _none("long")).otherwise(pairs(g)))),
     )
     none = _none("struct<pair: long, times: long>")
-    many_links = by_unit(lambda *_: none, lambda groups: F.flatten(F.transform(F.filter(groups, many), counted)))
-    groups = F.when(F.size("pu") > 1, F.transform(F.sequence(F.lit(0), F.size("pu") - 2), lambda u: n_of("pu", u)))
-    rows = _settled(rows, texts=texts, links=links, many_links=many_links, groups=groups).withColumn("any_many", F.exists("many_links", lambda x: F.size(x) > 0))
+    any_many = F.exists("at", lambda v: ~single(v) & F.exists(run(v["g"], v["n"]), many))
+    many_links = F.when(any_many, by_unit(lambda places, shift: none, lambda groups: F.flatten(F.transform(F.filter(groups, many), counted))))
+    rows = _settled(rows, texts=texts, links=links, many_links=many_links, groups=F.col("at.n"))
 
     # Documents from their units.
     kept = _without(docs, *_MADE).columns
@@ -260,7 +259,7 @@ def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str,
     def document(d: Column) -> Column:
         of = lambda c: F.transform(d[units], lambda u: F.get(c, u))
         n_groups = F.aggregate(d[units], F.lit(0).cast("long"), lambda n, u: n + F.get("groups", u))
-        more = F.when(F.col("any_many"), F.flatten(of("many_links"))).otherwise(none)
+        more = F.when(F.col("many_links").isNotNull(), F.flatten(of("many_links"))).otherwise(none)
         made = [d[n_a].alias("n_a"), d[n_b].alias("n_b"), n_groups.alias("n_groups"), finish(F.array_join(of("texts"), ";")).alias("aligned"), F.flatten(of("links")).alias("links"), more.alias("many_links")]
         return F.struct(*[d[c].alias(c) for c in kept], *made)
 

@@ -23,43 +23,74 @@ def normalised(vector: Column) -> Column:
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6, block: int = 4096) -> DataFrame:
     """queries(query_id, q), corpus(vec_id, v) -> (query_id, vec_id, score, rank), by expressions alone.
 
-    Every query meets every row, as an exact scan must; the queries are the stated set. Up to ``block`` of them go to the corpus, which then stays where it is.
+    Every query meets every row, as an exact scan must; the queries are the stated set. Up to ``block`` of them go to the corpus, which then stays where it is; more go in blocks of as many.
     """
-    few = queries.limit(block + 1).count() <= block
-    scored = corpus.crossJoin(F.broadcast(queries) if few else queries).select("query_id", "vec_id", F.round(inner_product("q", "v"), digits).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if queries.limit(block + 1).count() > block:
+        return dense_top_k_blocks(queries.sparkSession, queries, corpus, k, digits, block)
+    scored = corpus.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(inner_product("q", "v"), digits).alias("score"))
+    return best_of_each(scored, "vec_id", k)
+
+
+def best_of_each(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best of each query with their rank, ties by key."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def dense_top_k_blocks(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6, block: int = 4096) -> DataFrame:
-    """The same by matrix products: queries go out in blocks of fixed size, each task keeps k rows a query and batch.
+    """The same by matrix products: queries go out in blocks of fixed size, each task keeps k rows a query. Null vectors have no score.
 
     The driver holds one block of queries at a time: of several, each one's hits are written before the next is read.
     """
     many, parts = queries.limit(block + 1).count() > block, []
-    rows = queries.select("query_id", "q").toLocalIterator()
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(corpus.dtypes)['vec_id']}, score double"
+    rows = queries.where("q IS NOT NULL").select("query_id", "q").toLocalIterator()
     while own := list(islice(rows, block)):
         shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own]), np.array([r["q"] for r in own], dtype=np.float64)))
-        hits = corpus.select("vec_id", "v").mapInPandas(_best_of(shared, k, digits), "query_id long, vec_id long, score double")
+        hits = corpus.where("v IS NOT NULL").select("vec_id", "v").mapInPandas(_best_of(shared, k, digits), schema)
         parts.append(stash(spark, hits, "hits") if many else hits)
         if many:
             shared.destroy()
     if not parts:
-        return corpus.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return spark.createDataFrame([], f"{schema}, rank int")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best_of_each(found, "vec_id", k)
+
+
+class Best:
+    """The k best ids of each of n queries so far, ties by id: ``row`` (number of the query), ``id`` and ``score``, side by side."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.row, self.id, self.score = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores[i, j] of query rows[i] and ids[j]. What cannot be among the k best is left out before anything is sorted."""
+        least = self.least[rows]
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        r, c = np.nonzero(scores >= least[:, None])
+        row, new, score = np.concatenate([self.row, rows[r]]), ids[c], np.concatenate([self.score, scores[r, c]])
+        every = new if self.id is None else np.concatenate([self.id, new])
+        order = np.lexsort((np.unique(every, return_inverse=True)[1], -score, row))
+        row, every, score = row[order], every[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.row, self.id, self.score = row[kept], every[kept], score[kept]
+        last = place == self.k - 1
+        self.least[row[last]] = score[last]
 
 
 def _best_of(shared, k: int, digits: int):
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
+        best, rows = Best(len(ids), k), np.arange(len(ids))
         for f in frames:
-            vec = f["vec_id"].to_numpy()
-            scores = np.round(q @ np.array(f["v"].tolist(), dtype=np.float64).T, digits)
-            order = np.lexsort((np.broadcast_to(vec, scores.shape), -scores), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vec[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+            if len(f):
+                best.add(rows, f["vec_id"].to_numpy(), np.round(q @ np.array(f["v"].tolist(), dtype=np.float64).T, digits))
+        if best.id is not None:
+            yield pd.DataFrame({"query_id": ids[best.row], "vec_id": best.id, "score": best.score})
 
     return work

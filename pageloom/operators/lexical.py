@@ -93,8 +93,8 @@ class LexicalIndex:
         beside = F.broadcast if few else (lambda df: df)
         stats = corpus_stats(self.counts)
         terms = term_stats(self.terms.join(beside(asked.select("term").distinct()), "term", "left_semi"), stats)
-        # Dealt by chunk once, a row for each: the sums by (query, chunk) need no further exchange where the terms are broadcast.
-        found = _entries(self.counts.repartition(key), key).join(beside(terms), "term").join(beside(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+        # A chunk's row has all its terms, so its sums are made where it is: only (query, chunk) and its score are shuffled.
+        found = _entries(self.counts, key).join(beside(terms), "term").join(beside(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
         tf = F.col("tf")
         part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         return found.groupBy(query_key, key).agg(F.sum(part).alias("score"))

@@ -12,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.store import exists
+from pageloom.store import exists, stash
 
 from . import answers, dense, fusion
 from .lexical import LexicalIndex
@@ -30,8 +30,15 @@ class Retriever(Protocol):
         """Hits with what the chunks say."""
 
 
+#: Hits up to which they go to the chunks; counted before.
+BROADCAST_HITS = 500_000
+
+
 def _with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    return ranked.join(chunks.select("chunk_id", "doc_name", "page_number", "text"), "chunk_id").select(*HIT)
+    """Hits are few beside the chunks: they are written, counted and sent to where the texts are."""
+    hits = stash(ranked.sparkSession, ranked, "hits")
+    hits = F.broadcast(hits) if hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS else hits
+    return chunks.select("chunk_id", "doc_name", "page_number", "text").join(hits, "chunk_id").select(*HIT)
 
 
 @dataclass

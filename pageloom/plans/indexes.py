@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.operators.cells import CellIndex
 from pageloom.operators.postings import StoredIndex
 from pageloom.store import scratch
 
-from .retrieval import _INDEX, _bm25, _chunks, _queries, _read
+from .retrieval import _DENSE, _INDEX, _bm25, _chunks, _queries, _read, _vectors
 
 
 def bm25_topk_stored(spark, sf_dir):
@@ -46,7 +47,30 @@ def index_subset_topk(spark, sf_dir):
     return StoredIndex.create(scratch(spark, "stored"), _chunks(spark, sf_dir)).subset(scratch(spark, "subset"), good).top_k(_queries(spark, sf_dir), 10)
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk_stored, index_maintained, index_compacted, index_maintained_terms, index_subset_topk)}
+def dense_topk_cells(spark, sf_dir):
+    """dense_topk from a stored index that leaves out the cells that cannot reach the first ten."""
+    queries, corpus = _vectors(spark, sf_dir)
+    path = scratch(spark, "cells")
+    CellIndex.create(path, corpus)
+    return CellIndex.open(spark, path).top_k(queries, 10)
+
+
+def dense_cells_extended(spark, sf_dir):
+    """The same from an index of the vectors with labels, extended by all."""
+    queries, corpus = _vectors(spark, sf_dir)
+    path, labelled = scratch(spark, "cells"), _read(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("vec_id")
+    CellIndex.create(path, corpus.join(labelled, "vec_id", "left_semi"))
+    return CellIndex.open(spark, path).extended(corpus).top_k(queries, 10)
+
+
+def dense_cells_subset(spark, sf_dir):
+    """The same over the vectors of three labels, cut out of the index of all."""
+    queries, corpus = _vectors(spark, sf_dir)
+    wanted = _read(spark, sf_dir, "embeddings").where("label IN (1, 4, 7)").select("vec_id")
+    return CellIndex.create(scratch(spark, "cells"), corpus).subset(scratch(spark, "subset"), wanted).top_k(queries, 10)
+
+
+QUERIES = {f.__name__: f for f in (bm25_topk_stored, index_maintained, index_compacted, index_maintained_terms, index_subset_topk, dense_topk_cells, dense_cells_extended, dense_cells_subset)}
 
 
 def _over(where: str) -> str:
@@ -62,4 +86,7 @@ SQL = {
     "index_compacted": f"WITH {_over(_LIVE)}, {_TOP}",
     "index_maintained_terms": f"WITH {_over(_LIVE)} SELECT term, df FROM idf",
     "index_subset_topk": f"WITH {_over('doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)')}, {_TOP}",
+    "dense_topk_cells": _DENSE,
+    "dense_cells_extended": _DENSE,
+    "dense_cells_subset": _DENSE.replace("FROM v a, v b WHERE", "FROM v a, (SELECT * FROM v WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 4, 7))) b WHERE"),
 }

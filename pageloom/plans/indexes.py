@@ -1,4 +1,4 @@
-"""Queries on stored indexes: searching, maintaining and subsetting them."""
+"""Queries on what is kept and changed: stored indexes, streams with state."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pageloom.operators.cells import CellIndex
 from pageloom.operators.postings import StoredIndex
 from pageloom.store import scratch
+from pageloom.streaming.ingest import append_new, current, newest
 
 from .retrieval import _DENSE, _INDEX, _bm25, _chunks, _queries, _read, _vectors
 
@@ -70,7 +71,26 @@ def dense_cells_subset(spark, sf_dir):
     return CellIndex.create(scratch(spark, "cells"), corpus).subset(scratch(spark, "subset"), wanted).top_k(queries, 10)
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk_stored, index_maintained, index_compacted, index_maintained_terms, index_subset_topk, dense_topk_cells, dense_cells_extended, dense_cells_subset)}
+def stream_append_small_batches(spark, sf_dir):
+    """Events land in many files, all of them twice; a file is a batch, and each event comes out once."""
+    landing, out, checkpoint = (scratch(spark, t) for t in ("landing", "out", "checkpoint"))
+    events = _read(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for _ in range(2):
+        events.repartition(6, "event_type").write.mode("append").parquet(landing)
+        append_new(spark, landing, events.schema, out, checkpoint, "event_id", files_per_batch=1).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_newest_rows(spark, sf_dir):
+    """The last event of each user, as files of events come in."""
+    landing, out, checkpoint = (scratch(spark, t) for t in ("landing", "out", "checkpoint"))
+    events = _read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    events.repartition(6, "event_type").write.parquet(landing)
+    newest(spark, landing, events.schema, out, checkpoint, "user_id", "event_id", files_per_batch=2).awaitTermination()
+    return current(spark, out, "user_id")
+
+
+QUERIES = {f.__name__: f for f in (bm25_topk_stored, index_maintained, index_compacted, index_maintained_terms, index_subset_topk, dense_topk_cells, dense_cells_extended, dense_cells_subset, stream_append_small_batches, stream_newest_rows)}
 
 
 def _over(where: str) -> str:
@@ -89,4 +109,6 @@ SQL = {
     "dense_topk_cells": _DENSE,
     "dense_cells_extended": _DENSE,
     "dense_cells_subset": _DENSE.replace("FROM v a, v b WHERE", "FROM v a, (SELECT * FROM v WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 4, 7))) b WHERE"),
+    "stream_append_small_batches": "SELECT event_id, event_type, value FROM events",
+    "stream_newest_rows": "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id",
 }

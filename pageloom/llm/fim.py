@@ -1,13 +1,13 @@
 """Fill-in-the-middle: texts cut at two seeded unit boundaries, and written prefix-suffix-middle or suffix-prefix-middle.
 
-Equal texts have equal boundaries, so these are found once for each distinct text. Texts are grouped by their content itself; each distinct one gets a key of
+Equal texts have equal boundaries, so these are found once for each distinct text that some document cuts. Those texts are grouped by their content itself; each distinct one gets a key of
 128 bits and the Elias-Fano list of the places where its units end, some 5 bits a unit. The keys are then counted: should two
 texts of the corpus share one, all are keyed anew with the next seed. So a document that meets the index by key has met its own text. Documents are joined to the index by plain exchanges on
 both sides, which lets adaptive execution split a text that a third of the documents have; each reads its two cuts out of the list.
 
 Units are ``[white space]*[other]+`` or white space at the end, where white space is U+0020 and U+0009 to U+000D; cuts and lengths count code points. The draw
 of a document depends on seed and doc_id alone, so rows repeated or equal in doc_id are cut alike, and a null doc_id draws as an empty one. Null
-text is an empty text; empty texts, texts that hold a marker, and the share not drawn stay plain. Very long texts are cut like others. An empty table gives an
+text is an empty text; empty texts, texts that hold a marker, and the share not drawn stay plain: their units are only counted, where they are. Very long texts are cut like others. An empty table gives an
 empty table. All columns are kept; ``n_units``, ``form``, ``prefix_chars``, ``middle_chars`` and ``output`` replace columns of that name.
 """
 
@@ -107,25 +107,30 @@ def fill_in_middle(spark: SparkSession, docs: DataFrame, seed: int = 42, rate: i
     if len({*markers}) != 3 or not all(re.fullmatch("<[^<>]+>", m) for m in markers):
         raise ValueError("markers must be three different names in angle brackets")
     p, s, m = map(F.lit, markers)
-    index, key_seed = text_index(spark, docs)
     kept = _without(docs, "n_units", "form", "prefix_chars", "middle_chars", "output")
     text, k1, k2, draw, cut, ends = fresh(kept.columns, "body", "k1", "k2", "draw", "cut", "ends")
     rows = kept.withColumn(text, F.coalesce("text", F.lit("")))
-    rows = rows.withColumns(dict(zip((k1, k2), _key(F.col(text), key_seed))))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     rows = rows.withColumn(draw, F.array(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]))
     h = lambda i, n: F.get(draw, F.lit(i)) % n
     plain = (F.col(text) == "") | F.contains(text, p) | F.contains(text, s) | F.contains(text, m) | (h(2, 100) >= rate)
     rows = rows.withColumn("form", F.when(plain, "plain").when(h(3, 100) < spm, "spm").otherwise("psm"))
-    found = rows.join(index.select(F.col("k1").alias(k1), F.col("k2").alias(k2), "n_units", F.col("ends").alias(ends)), [k1, k2])
-    found = found.withColumn(draw, F.when(F.col("form") != "plain", F.array_sort(F.array(h(0, F.col("n_units") + 1), h(1, F.col("n_units") + 1)))))
-    found = found.withColumn(cut, _cuts(ends, *[F.coalesce(F.get(draw, F.lit(i)), F.lit(0)) for i in (0, 1)]))
+    columns, drawn = [F.col(f"`{c}`") for c in kept.columns], rows.where("form <> 'plain'")
+
+    drawn = drawn.drop(text)  # it is the text itself where there is one
+    index, key_seed = text_index(spark, drawn)
+    drawn = drawn.withColumns(dict(zip((k1, k2), _key(F.col("text"), key_seed))))
+    found = drawn.join(index.select(F.col("k1").alias(k1), F.col("k2").alias(k2), "n_units", F.col("ends").alias(ends)), [k1, k2])
+    found = found.withColumn(draw, F.array_sort(F.array(h(0, F.col("n_units") + 1), h(1, F.col("n_units") + 1))))
+    found = found.withColumn(cut, _cuts(ends, *[F.get(draw, F.lit(i)) for i in (0, 1)]))
     a, b = F.col(f"{cut}.a").cast("int"), F.col(f"{cut}.b").cast("int")
-    prefix, middle, suffix = F.substr(text, F.lit(1), a), F.substr(text, a + 1, b - a), F.substr(text, b + 1)
-    output = F.when(F.col("form") == "spm", F.concat(s, suffix, p, prefix, m, middle)).when(F.col("form") == "psm", F.concat(p, prefix, s, suffix, m, middle)).otherwise(F.col(text))
-    chars = lambda c: F.when(F.col("form") != "plain", c)
-    columns = [F.col(f"`{c}`") for c in kept.columns]
-    return found.select(*columns, "n_units", "form", chars(F.col(f"{cut}.a")).alias("prefix_chars"), chars(F.col(f"{cut}.b") - F.col(f"{cut}.a")).alias("middle_chars"), output.alias("output"))
+    prefix, middle, suffix = F.substr("text", F.lit(1), a), F.substr("text", a + 1, b - a), F.substr("text", b + 1)
+    output = F.when(F.col("form") == "spm", F.concat(s, suffix, p, prefix, m, middle)).otherwise(F.concat(p, prefix, s, suffix, m, middle))
+    made = found.select(*columns, "n_units", "form", F.col(f"{cut}.a").alias("prefix_chars"), (F.col(f"{cut}.b") - F.col(f"{cut}.a")).alias("middle_chars"), output.alias("output"))
+    n_units = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + F.when(F.rlike(text, F.lit(r"[\x20\x09-\x0D]\z")), 1).otherwise(0)
+    none = F.lit(None).cast("long")
+    left = rows.where("form = 'plain'").select(*columns, n_units.cast("long").alias("n_units"), "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col(text).alias("output"))
+    return made.unionByName(left)
 
 
 def restored(output: Column, form: Column, markers: tuple[str, str, str] = MARKERS) -> Column:

@@ -18,6 +18,7 @@ Very long texts are coded whole, and very long units are coded and not kept. Rep
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -53,7 +54,8 @@ def byte_level_bytes() -> dict[str, int]:
 class Coder:
     """Codes texts by both vocabularies; keeps the tokens of units, those of one batch and about ``keep_tokens`` more."""
 
-    def __init__(self, json: str, model: bytes, keep_tokens: int = 6_000_000, long_unit: int = 256):
+    def __init__(self, json: str, model: bytes, keep_tokens: int = 1_500_000, long_unit: int = 256):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -115,8 +117,9 @@ class Coder:
             self._clear()
         units = [(_SPACED if self.odd(t) else _UNIT)(f" {t}") if t else [] for t in texts]
         new = list(set(chain.from_iterable(units)) - self.known.keys())
+        for i in range(0, len(new), 5000):
+            self._learn(new[i : i + 5000])
         if new:
-            self._learn(new)
             self.full = max(map(len, new)) > self.long_unit  # long units are not kept beyond this batch
         sizes = [len(u) for u in units]
         every = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, sum(sizes))

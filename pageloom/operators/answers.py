@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import REFUSAL, citations, context_block, is_refusal, numeric_match, verdict_of
 from pageloom.store import stash
 
+from .chunking import ruler_tokens
 from .evaluation import gold_pages
 
 INSTRUCTIONS = f"Answer from the numbered passages alone and cite them as [n]. If they do not hold the answer, say: {REFUSAL}"
@@ -34,8 +35,29 @@ class Extractive:
         return out
 
 
-def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, question, contexts, prompt): hits in rank order, numbered from 1."""
+def within_budget(questions: DataFrame, hits: DataFrame, budget: int, answer_tokens: int = 0) -> DataFrame:
+    """The hits of each question, best first, that fit into a prompt of ``budget`` tokens beside instructions, question and ``answer_tokens`` for the answer; with ``tokens``, what each takes.
+
+    They are the first of their ranks, so those that stay keep their numbers; the question is never cut. A first hit that is too long by itself is cut to the tokens that are left; where nothing is left,
+    no hit stays. A question has at most its k hits, so a window holds those.
+    """
+    size = lambda text: F.size(ruler_tokens(text))
+    room = F.lit(budget - answer_tokens) - size(F.lit(INSTRUCTIONS)) - size(F.concat(F.lit("Question: "), F.coalesce("question", F.lit(""))))
+    rows = hits.join(questions.select("query_id", room.alias("__room")), "query_id").withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    label = size(F.concat(F.lit("["), F.col("__n").cast("string"), F.lit("] ("), F.coalesce("doc_name", F.lit("")), F.lit(" p."), F.coalesce(F.col("page_number").cast("string"), F.lit("")), F.lit(")")))
+    rows = rows.withColumn("__label", label).withColumn("tokens", F.col("__label") + size(F.col("text")))
+    rows = rows.withColumn("__used", F.sum("tokens").over(Window.partitionBy("query_id").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)))
+    cut = (F.col("__n") == 1) & (F.col("tokens") > F.col("__room"))
+    rows = rows.where((F.col("__used") <= F.col("__room")) | (cut & (F.col("__room") > F.col("__label"))))
+    left = F.col("__room") - F.col("__label")
+    rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(ruler_tokens(F.col("text")), F.lit(1), left), " ")).otherwise(F.col("text")))
+    return rows.withColumn("tokens", F.when(cut, F.col("__room")).otherwise(F.col("tokens"))).drop("__room", "__n", "__label", "__used")
+
+
+def prompts(questions: DataFrame, hits: DataFrame, budget: int | None = None, answer_tokens: int = 0) -> DataFrame:
+    """(query_id, question, contexts, prompt): hits in rank order, numbered from 1; with a budget those that fit."""
+    if budget is not None:
+        hits = within_budget(questions, hits, budget, answer_tokens)
     per = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_name", "page_number", "chunk_id", "score", "text"))).alias("contexts"))
     rows = questions.select("query_id", "question").join(per, "query_id", "left")
     return rows.withColumn("prompt", _prompt(F.col("contexts"), F.col("question")))

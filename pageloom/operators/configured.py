@@ -56,4 +56,4 @@ def rag_of(spark: SparkSession, lexical_path: str, vector_path: str, embed: Embe
     _, queries = encoders_of(embed)
     dense = retriever.Dense(retriever.VectorIndex.load(spark, vector_path), queries, embed.name)
     lexical = retriever.Lexical(retriever.LexicalIndex.load(spark, lexical_path))
-    return retriever.RAG(retriever.Hybrid(dense, lexical, fused.dense_weight, fused.pool), provider_of(generator), generator.k)
+    return retriever.RAG(retriever.Hybrid(dense, lexical, fused.dense_weight, fused.pool), provider_of(generator), generator.k, generator.context_tokens, generator.max_new_tokens)

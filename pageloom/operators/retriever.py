@@ -128,9 +128,11 @@ class RAG:
     retriever: Retriever
     make_provider: Callable[[], answers.Provider] = answers.Extractive
     k: int = 10
+    context_tokens: int | None = None  # what prompt and answer may have together
+    max_new_tokens: int = 384
 
     def answer(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """questions(query_id, question) -> (query_id, question, contexts, answer, error, cited, refused)."""
-        asked = answers.prompts(questions, self.retriever.search(questions.select("query_id", F.col("question").alias("text")), k or self.k))
+        asked = answers.prompts(questions, self.retriever.search(questions.select("query_id", F.col("question").alias("text")), k or self.k), self.context_tokens, self.max_new_tokens)
         return answers.with_answers(asked, self.make_provider)
 

@@ -129,6 +129,13 @@ def context_prompt(spark, sf_dir):
     return per.select("query_id", F.md5(context_block(F.col("c")).cast("binary")).alias("context_md5"))
 
 
+def budgeted_contexts(spark, sf_dir):
+    """The first hits of each item that fit into 2,048 tokens beside instructions, question and 256 tokens of answer."""
+    questions = _queries(spark, sf_dir).withColumnRenamed("text", "question")
+    kept = answers.within_budget(questions, _hits(spark, sf_dir).where("rank <= 10"), 2048, 256)
+    return kept.select("query_id", "rank", "chunk_id", F.col("tokens").cast("long").alias("tokens"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def generated_answers(spark, sf_dir):
     questions = _queries(spark, sf_dir).withColumnRenamed("text", "question")
     gold = gold_pages(_evidence(spark, sf_dir)).groupBy("query_id").agg(F.collect_list(F.struct("doc_name", "page_number")).alias("gold_pages"))
@@ -153,11 +160,17 @@ def generator_operational_summary(spark, sf_dir):
 
 QUERIES = {f.__name__.removesuffix("_query"): f for f in (
     citation_extract, refusal_flag, answer_word_count, cited_pages_valid, parse_number_query, numeric_match_query, answer_block_summary, signal_agreement, verdict_by_page_hit, ab_order_sha256,
-    preference_crosstab, preference_summary, winner_to_model, order_robust_preferences, both_judges_agree, sign_test, context_prompt, generated_answers, json_judge_parse, generator_operational_summary,
+    preference_crosstab, preference_summary, winner_to_model, order_robust_preferences, both_judges_agree, sign_test, context_prompt, budgeted_contexts, generated_answers, json_judge_parse, generator_operational_summary,
 )}
 
+from .corpus import _RULER  # noqa: E402
 from .retrieval import _INDEX, _bm25  # noqa: E402
 
+
+def _ruled(x: str) -> str:
+    return f"regexp_extract_all({x}, '{_RULER}')"
+
+
 _WORDS = r"len(list_filter(string_split_regex(text, '[\s\x{85}\p{Z}]+'), lambda w: w <> ''))"
 _MONEY = "'$' || format('{:,.2f}', l_extendedprice)"
 _PRICED = f"""
@@ -203,6 +216,13 @@ SELECT judge, count(*) AS n, count(*) FILTER (robust = '7b') AS robust_7b, count
     "both_judges_agree": f"WITH {_JUDGED}, r AS (SELECT {_ROBUST} AS x, swapped AS y FROM j) SELECT CASE WHEN x = y THEN x ELSE 'not_agree' END AS outcome, count(*) AS n FROM r GROUP BY 1",
     "sign_test": f"""WITH {_JUDGED}, c AS (SELECT * FROM (VALUES (14::BIGINT, 11::BIGINT), (25, 14), (0, 0), (4, 0), (3, 0), (2000, 1900)) v(a, b)
   UNION ALL SELECT count(*) FILTER (preferred = '7b'), count(*) FILTER (preferred = '3b') FROM j GROUP BY judge) SELECT a, b, round({_P}, 6) AS p FROM c""",
+    "budgeted_contexts": f"""WITH {_INDEX}, {_bm25(10)},
+h AS (SELECT f.query_id, f.rank, f.chunk_id, d.text, {_ruled("d.text")} AS t, len({_ruled("'[' || rank || '] (' || source || ' p.' || (doc_id + 1) || ')'")}) AS label,
+  2048 - 256 - len({_ruled(f"'{answers.INSTRUCTIONS}'")}) - len({_ruled("'Question: ' || coalesce(b.text, '')")}) AS room
+  FROM hits f JOIN documents d ON chunk_id = doc_id JOIN benchmark b ON item_id = f.query_id),
+u AS (SELECT *, label + len(t) AS n, sum(label + len(t)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM h),
+k AS (SELECT *, rank = 1 AND n > room AS cut FROM u WHERE used <= room OR (rank = 1 AND n > room AND room > label))
+SELECT query_id, rank, chunk_id, CAST(CASE WHEN cut THEN room ELSE n END AS BIGINT) AS tokens, md5(CASE WHEN cut THEN array_to_string(list_slice(t, 1, room - label), ' ') ELSE text END) AS text_md5 FROM k""",
     "context_prompt": rf"""WITH {_INDEX}, {_bm25(5)}
 SELECT query_id, md5(string_agg('[' || rank || '] (' || source || ' p.' || (doc_id + 1) || ') ' || regexp_replace(regexp_replace(text, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g'), chr(10) ORDER BY rank)) AS context_md5
 FROM hits JOIN documents ON chunk_id = doc_id GROUP BY query_id""",

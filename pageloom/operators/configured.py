@@ -13,8 +13,10 @@ from . import chunking, retriever
 from .answers import Extractive, Provider
 from .encoding import encode_column, hashed_encoder
 from .sampling import reuse_vectors, subset
+from .subwords import ruled_windows, tokenizer_ruler
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"fixed": chunking.fixed_windows, "recursive": chunking.recursive_chunks}
+RULED: dict[str, Callable[..., DataFrame]] = {"fixed": ruled_windows, "recursive": chunking.recursive_chunks}
 PROVIDERS: dict[str, Callable[[GenerateConfig], Provider]] = {"extractive": lambda cfg: Extractive()}
 
 
@@ -24,7 +26,10 @@ def chunks_of(pages: DataFrame, cfg: ChunkConfig, eval_docs: DataFrame | None =
         if eval_docs is None:
             raise ValueError("eval_docs_only needs the documents to keep")
         pages = subset(pages, eval_docs.distinct(), "doc_name")
-    cut = STRATEGIES[cfg.strategy](pages, cfg.chunk_size, cfg.chunk_overlap)
+    if cfg.tokenizer:
+        cut = RULED[cfg.strategy](pages, cfg.chunk_size, cfg.chunk_overlap, tokenizer_ruler(cfg.tokenizer))
+    else:
+        cut = STRATEGIES[cfg.strategy](pages, cfg.chunk_size, cfg.chunk_overlap)
     return chunking.numbered(cut).withColumn("n_chars", F.length("text"))
 
 

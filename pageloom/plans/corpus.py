@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.operators import chunking, cleaning, sampling
+from pageloom.operators import chunking, cleaning, sampling, subwords
 from pageloom.sources.files import html_text
 from pageloom.streaming.ingest import windowed_counts
 
@@ -41,6 +41,22 @@ def fixed_windows(spark, sf_dir):
     return chunking.fixed_windows(_pages(spark, sf_dir)).select("doc_name", "page_number", "local_index", "n_tokens", _md5("text"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def subword_windows(spark, sf_dir):
+    """Windows of 256 subword tokens, 50 shared."""
+    return subwords.ruled_windows(_pages(spark, sf_dir), 256, 50, subwords.tokenizer_ruler(_tokenizer())).select("doc_name", "page_number", "local_index", "n_tokens", _md5("text"))
+
+
+def subword_chunks(spark, sf_dir):
+    """The recursive splitter in subword tokens."""
+    return chunking.recursive_chunks(_pages(spark, sf_dir), make_ruler=subwords.tokenizer_ruler(_tokenizer())).select("doc_name", "page_number", "local_index", "n_tokens", _md5("text"))
+
+
 def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(_pages(spark, sf_dir))
 
@@ -107,7 +123,7 @@ def events_by_hour(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    boilerplate_signatures, clean_pages, clean_audit, fixed_windows, recursive_chunks, chunk_numbering, chunk_stats_percentiles, stratified_pilot, subset_by_docs,
+    boilerplate_signatures, clean_pages, clean_audit, fixed_windows, subword_windows, subword_chunks, recursive_chunks, chunk_numbering, chunk_stats_percentiles, stratified_pilot, subset_by_docs,
     vector_reuse, manifest_first_dedupe, last_record_wins, manifest_upsert, resume_anti_join, next_missing_shards, html_pages_extract, events_by_hour,
 )}
 

@@ -12,6 +12,7 @@ class ChunkConfig:
     chunk_size: int = 256
     chunk_overlap: int = 50
     eval_docs_only: bool = False
+    tokenizer: str | None = None  # a file of the tokenizers library, whose tokens sizes are in
 
     def __post_init__(self):
         if self.strategy not in ("recursive", "fixed"):

@@ -6,10 +6,10 @@ at its positions from left to right, and looks again only at the two neighbours
 makes a pair of a lower rank, the rest of that word waits until that pair is done, so each word sees
 its merges in the order that an encoder of single words would take. A word that is itself a token stays whole.
 
-Words repeat, so a worker keeps about ``cache_words`` of them encoded, those lately in use;
-memory does not grow with the corpus. No shuffle: documents are independent.
+Words repeat, so a worker keeps about ``cache_words`` of them encoded, those lately in use and of up to ``LONG_WORD`` characters;
+memory does not grow with the corpus, nor with long words beyond those of the texts in hand. No shuffle: documents are independent.
 
-Null or empty text gives an empty list of ids, and decodes to no bytes. Bytes that are not UTF-8
+Very long words and texts are encoded whole; repeated rows are rows like others, and an empty table gives an empty table. Null or empty text gives an empty list of ids, and decodes to no bytes. Bytes that are not UTF-8
 are read as U+FFFD. All rows and columns are kept; ``ids`` and ``decoded`` replace columns of that name.
 """
 
@@ -41,8 +41,10 @@ LATER = """
 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
 
-#: Words replayed together; more of them no longer fit in a core's cache.
-BLOCK_WORDS = 1000
+#: Words replayed together, and their characters; more of them no longer fit in a core's cache.
+BLOCK_WORDS, BLOCK_CHARS = 1000, 200_000
+#: Longer words are replayed each time and not kept, so that the cache is bounded in bytes, too.
+LONG_WORD = 256
 
 #: The pattern that most byte-level vocabularies share, and what it says of texts that hold only ``PLAIN`` characters,
 #: for Python's own, faster matcher.
@@ -193,11 +195,15 @@ class Encoder:
                 new.append(w)
             else:
                 self.young[w] = got
-        for i in range(0, len(new), BLOCK_WORDS):
-            some = new[i : i + BLOCK_WORDS]
+        for i, j in _parts([max(len(w), BLOCK_CHARS // BLOCK_WORDS) for w in new], BLOCK_CHARS):
+            some = new[i:j]
             self.young.update(zip(some, replay([w.encode("utf-8", "replace") for w in some], self.ranks)))
         get = self.young.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        out = [b"".join(map(get, p)) for p in pieces]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.young[w]
+        return out
 
 
 #: A worker process keeps its encoder from one task to the next.

@@ -30,7 +30,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     words = secrets.corpus_words(docs)
-    found = secrets.find_secrets(docs, secrets.fit_forest(secrets.example_table(spark), words), words, path="source")
+    found = secrets.find_secrets(docs, secrets.fit_forest(secrets.example_table(spark), words, path="path"), words, path="source")
     return found.select("doc_id", "word", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.round("score", 9).alias("score"), "is_secret")
 
 

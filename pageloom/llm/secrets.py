@@ -97,8 +97,8 @@ def features(found: DataFrame, dictionary: list[str], path: Column | None = None
     return found.withColumns(columns)
 
 
-def example_findings(n: int = 1500, seed: int = 9) -> list[tuple[int, str, int]]:
-    """(id, text, label): n findings of known kinds, in ordinary words; label 1 is a secret."""
+def example_findings(n: int = 1500, seed: int = 9) -> list[tuple[int, str, int, str, int]]:
+    """(id, text, label, path, kind): n findings of known kinds, in ordinary words; label 1 is a secret. What looks like one under a path of tests or examples is a made one, label 0."""
     rnd = random.Random(seed)
     hexes = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
@@ -122,8 +122,12 @@ def example_findings(n: int = 1500, seed: int = 9) -> list[tuple[int, str, int]]
     out = []
     for i in range(n):
         label = i % 2
-        made = rnd.choice(secret if label else harmless)()
-        out.append((i, " ".join([word() for _ in range(rnd.randrange(0, 5))] + [made] + [word() for _ in range(rnd.randrange(0, 4))]), label))
+        kinds = secret if label else harmless
+        kind = rnd.randrange(len(kinds))
+        text = " ".join([word() for _ in range(rnd.randrange(0, 5))] + [kinds[kind]()] + [word() for _ in range(rnd.randrange(0, 4))])
+        tested = rnd.random() < 0.2
+        path = f"{rnd.choice(TEST_PATHS)}/{word()}/{part()}" if tested else f"{rnd.choice(['src', 'lib', 'app', 'web'])}/{word()}/{word()}"
+        out.append((i, text, 0 if tested else label, path, kind if label else -1 - kind))
     return out
 
 
@@ -146,11 +150,12 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, lea
     return f, t, grow(x[low], y[low], depth - 1, rng, least), grow(x[~low], y[~low], depth - 1, rng, least)
 
 
-def fit_forest(findings: DataFrame, dictionary: list[str], trees: int = 21, depth: int = 6, seed: int = 4, most: int = 20_000) -> list:
-    """A forest from findings(doc_id, text, label); at most ``most`` of their candidates are taken. No labelled candidate: no tree."""
-    labelled = candidates(findings.where("label IS NOT NULL"), F.col("label").cast("double").alias("label"))
+def fit_forest(findings: DataFrame, dictionary: list[str], trees: int = 21, depth: int = 6, seed: int = 4, most: int = 20_000, path: str | None = None) -> list:
+    """A forest from findings(doc_id, text, label), and the column that ``path`` names; at most ``most`` of their candidates are taken. No labelled candidate: no tree."""
+    label, where_from = F.col("label").cast("double").alias("label"), F.col(path).cast("string").alias("where_from") if path else None
+    labelled = candidates(findings.where("label IS NOT NULL"), label, *([where_from] if path else []))
     order = F.xxhash64("value", "before", "after", "label")
-    rows = features(labelled, dictionary).orderBy(order, "doc_id", "word").limit(most).select(*FEATURES, "label").collect()
+    rows = features(labelled, dictionary, F.col("where_from") if path else None).orderBy(order, "doc_id", "word").limit(most).select(*FEATURES, "label").collect()
     if not rows:
         return []
     data = np.array([tuple(r) for r in rows], dtype=np.float64)
@@ -180,4 +185,4 @@ def find_secrets(docs: DataFrame, forest: list, dictionary: list[str], threshold
 
 
 def example_table(spark: SparkSession, n: int = 1500, seed: int = 9) -> DataFrame:
-    return spark.createDataFrame(example_findings(n, seed), "doc_id long, text string, label int")
+    return spark.createDataFrame(example_findings(n, seed), "doc_id long, text string, label int, path string, kind int")

@@ -55,13 +55,14 @@ def search_bag(text: Column) -> Column:
 
 def distinct_grams(tokens: Column, n: int = 3) -> Column:
     """Distinct runs of n tokens; fewer tokens than n make one gram, none makes none. tokens: a column, not an expression, which each gram would compute anew."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(grams_of(tokens, n))
 
 
-def share_found(wanted: Column, found: Column) -> Column:
-    """Share of the distinct wanted that is found; 0 if nothing is wanted."""
-    return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, found)) / F.size(wanted)).otherwise(F.lit(0.0))
+def grams_of(tokens: Column, n: int = 3) -> Column:
+    """The runs of n tokens in their order; a slice in the lambda would copy all tokens for each."""
+    one = lambda i: F.array_join(F.array(*[F.get(tokens, i + j) for j in range(n)]), " ")  # noqa: E731  those beyond the end are null and left out
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), one)
+    return F.when(F.size(tokens) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def citations(answer: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import distinct_grams, share_found, word_tokens
+from pageloom.functions.text import distinct_grams, grams_of, word_tokens
 
 K_LIST = (1, 3, 5, 10, 20)
 PAGE_OFFSET, GRAM, LEAST_RECALL = 1, 3, 0.30
@@ -62,11 +62,26 @@ def page_metrics(questions: DataFrame, evidence: DataFrame, hits: DataFrame, ks:
 def span_recalls(evidence: DataFrame, hits: DataFrame, ks: tuple[int, ...] = K_LIST) -> DataFrame:
     """(query_id, span, k, token_recall, gram_recall): the span in the same-document hits up to k, joined by a space in rank order."""
     spans = evidence_spans(evidence)
-    per_k = spans.crossJoin(F.broadcast(hits.sparkSession.createDataFrame([(k,) for k in ks], "k int")))
-    met = per_k.alias("s").join(hits.alias("h"), (F.col("s.query_id") == F.col("h.query_id")) & (F.col("s.doc_name") == F.col("h.doc_name")) & (F.col("h.rank") <= F.col("s.k")), "left")
-    texts = met.groupBy("s.query_id", "s.span", "s.k", "s.tokens", "s.grams").agg(F.sort_array(F.collect_list(F.when(F.col("h.rank").isNotNull(), F.struct("h.rank", "h.text")))).alias("hits"))
-    read = texts.withColumn("t", word_tokens(F.array_join(F.transform("hits", lambda h: h["text"]), " ")))
-    return read.select("query_id", "span", "k", share_found(F.col("tokens"), F.col("t")).alias("token_recall"), share_found(F.col("grams"), distinct_grams(F.col("t"), GRAM)).alias("gram_recall"))
+    # Each text is cut into tokens once, each document's hits are put together once for each query: what stands within k is a prefix of that.
+    met = hits.where(F.col("rank") <= max(ks)).join(spans.select("query_id", "doc_name").distinct(), ["query_id", "doc_name"], "left_semi")
+    cut = met.select("query_id", "doc_name", "rank", word_tokens(F.col("text")).alias("t"))
+    per = cut.groupBy("query_id", "doc_name").agg(F.sort_array(F.collect_list(F.struct("rank", "t"))).alias("hits"))
+    sizes = F.transform("hits", lambda h: F.named_struct(F.lit("rank"), h["rank"], F.lit("n"), F.size(h["t"]))).alias("sizes")
+    read = per.select("query_id", "doc_name", sizes, F.explode(F.array(F.flatten("hits.t"))).alias("words"))
+    read = read.select("query_id", "doc_name", "sizes", "words", F.explode(F.array(grams_of(F.col("words"), GRAM))).alias("run"))
+    # Where each wanted token and gram stands first; 0: nowhere.
+    places = lambda wanted, found: F.transform(wanted, lambda x: F.coalesce(F.array_position(found, x), F.lit(0)))
+    rows = spans.join(read, ["query_id", "doc_name"], "left").select(
+        "query_id", "span", "sizes", "grams", F.slice("words", 1, GRAM - 1).alias("head"), F.explode(F.array(F.struct(places("tokens", F.col("words")).alias("t"), places("grams", F.col("run")).alias("g")))).alias("at")
+    )
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    n = F.coalesce(F.aggregate("sizes", F.lit(0), lambda n, h: n + F.when(h["rank"] <= F.col("k"), h["n"]).otherwise(0)), F.lit(0))
+    rows = rows.withColumn("n", n)
+    within = lambda places, last: F.size(F.filter(places, lambda p: (p > 0) & (p <= last)))
+    # Fewer tokens than a gram are one gram.
+    short = F.exists("grams", lambda g: g == F.array_join(F.slice("head", F.lit(1), F.col("n")), " ")).cast("int")
+    found = F.when(F.col("n") >= GRAM, within("at.g", F.col("n") - (GRAM - 1))).when(F.col("n") > 0, short).otherwise(0)
+    return rows.select("query_id", "span", "k", (within("at.t", F.col("n")) / F.size("at.t")).alias("token_recall"), (found / F.size("grams")).alias("gram_recall"))
 
 
 def evidence_metrics(questions: DataFrame, evidence: DataFrame, hits: DataFrame, ks: tuple[int, ...] = K_LIST) -> DataFrame:

@@ -83,6 +83,7 @@ class StoredIndex:
         return cls(spark, path, rows[0]["key"], max(found), [Segment(r["name"], r["n"], r["tokens"], tuple(r["dead"])) for r in rows if r["name"]])
 
     def _publish(self, segments: list[Segment]) -> StoredIndex:
+        segments = [s for s in segments if s.n]
         rows = [(s.name, s.n, s.tokens, [*s.dead], self.key) for s in segments] or [("", 0, 0, [], self.key)]
         made = self.spark.createDataFrame(rows, "name string, n long, tokens long, dead array<string>, key string").coalesce(1)
         made.write.parquet(f"{self.path}/versions/v={self.version + 1}")
@@ -174,7 +175,7 @@ class StoredIndex:
                 gone.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{self.path}/{s.name}/{name}/terms")
                 s = replace(s, n=s.n - n, tokens=s.tokens - tokens, dead=(*s.dead, name))
             out.append(s)
-        return [s for s in out if s.n]
+        return out
 
     def without(self, keys: DataFrame) -> StoredIndex:
         """Without the chunks of keys(key); unknown keys are ignored. Reads forward rows, writes those that go."""
@@ -203,7 +204,9 @@ class StoredIndex:
 
     def _blocks(self, segment: Segment, asked: list[str] | None) -> DataFrame:
         """A segment's blocks, as few as the asked terms allow."""
-        blocks = self._read(segment, "postings")
+        kind = dict(self._read(segment, "forward").dtypes)[self.key]
+        schema = f"term string, shard long, n long, max_tf int, min_dl int, entries array<struct<key: {kind}, tf: int, dl: int>>, part int"
+        blocks = self.spark.read.schema(schema).parquet(f"{self.path}/{segment.name}/postings")  # no file where no chunk has a token
         if asked is None:
             return blocks
         if segment.name not in self._parts:

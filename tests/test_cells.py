@@ -102,4 +102,5 @@ def test_odd_vectors(spark, tmp_path):
     index = CellIndex.create(f"{tmp_path}/ix", vectors)
     queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "query_id long, q array<double>")
     assert rows(index.top_k(queries, 5)) == [(1, "a", 3.0, 1), (1, "e", 0.0, 2)]
-    assert CellIndex.create(f"{tmp_path}/none", vectors.limit(0)).top_k(queries, 5).count() == 0
+    none = CellIndex.create(f"{tmp_path}/none", vectors.limit(0))
+    assert none.top_k(queries, 5).count() == 0

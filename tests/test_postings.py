@@ -91,6 +91,17 @@ def test_through_its_life(spark, small_shards, corpus, tmp_path):
     assert search(none, spark, queries) == [] and search(none.extended(table(spark, first)), spark, queries) == slow(first, queries, 5)
 
 
+def test_nothing_to_add_and_no_tokens(spark, tmp_path):
+    blank = {1: "", 2: None, 3: "!?"}
+    index = StoredIndex.create(f"{tmp_path}/ix", table(spark, blank))
+    assert search(index, spark, {1: "a", 2: ""}) == [] and index.n == 3 and index.terms().count() == 0
+    same = index.extended(table(spark, blank))
+    assert same.segments == index.segments and search(same.extended(table(spark, {4: "a b"})), spark, {1: "a"}) == slow(blank | {4: "a b"}, {1: "a"}, 5)
+    none = StoredIndex.create(f"{tmp_path}/none", table(spark, blank).limit(0))
+    assert none.segments == [] and search(StoredIndex.open(spark, f"{tmp_path}/none"), spark, {1: "a"}) == []
+    assert none.subset(f"{tmp_path}/part", spark.createDataFrame([(1,)], "chunk_id long")).n == 0
+
+
 def test_two_writers_of_one_version(spark, tmp_path):
     index = StoredIndex.create(f"{tmp_path}/ix", table(spark, {1: "a"}))
     index.extended(table(spark, {2: "b"}))

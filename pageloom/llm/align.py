@@ -211,7 +211,7 @@ def _counted(ids: Column) -> Column:
     return _let(F.sort_array(ids), lambda s: _let(ends(s), lambda e: runs(s, e)))
 
 
-def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, finish=lambda aligned: aligned, block_bytes: int = 4_000_000) -> DataFrame:
+def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, finish=lambda aligned: aligned, block_bytes: int = 2_000_000) -> DataFrame:
     """docs with n_a, n_b, n_groups, n_links (long), aligned, links and many_links.
 
     ``aligned`` has the ids between neighbouring common ends, as ``a1,a2|b1;a3|b2,b3``, or what ``finish`` makes of that, a digest say; ``groups_of`` reads it. ``links`` array<long> has an entry

@@ -70,9 +70,9 @@ class Coder:
             raise ValueError("a piece goes on across a space")
         self.bytes = a, b
         self.lengths = [np.array([len(t.get(n, b"")) for n in range(max(t) + 1)], np.int32) for t in (a, b)]
-        # White space that no longer piece has: a unit may begin with it.
-        bound = "".join(sorted({c for t in pieces if len(t) > 1 and not t.startswith("<0x") for c in t if c.isspace()}))
-        self.odd = re.compile(f"[{re.escape(bound)}]").search if bound else lambda _: None
+        # White space that stands in longer pieces, and what only this language counts as white space: units may not begin with it.
+        bound = {c for t in pieces if len(t) > 1 and not t.startswith("<0x") for c in t if c.isspace()} | {*"\x1c\x1d\x1e\x1f"}
+        self.odd = re.compile(f"[{re.escape(''.join(sorted(bound)))}]").search
         self.space = self.b.piece_to_id("▁")
         self.keep_tokens, self.long_unit = keep_tokens, long_unit
         self._clear()

@@ -1,13 +1,11 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes, and how often each two ids do so in the corpus.
 
-Workers cut and code texts by the two tokenizer libraries; all after that is expressions. Coding works on units, texts cut where white space follows another character. Neither
-vocabulary has a token across such a place - where the second has pieces with white space other than the space, texts that hold that are cut at spaces alone - so a unit's tokens are those it
-has in the whole text. Workers keep the tokens of units seen up to a bound; memory does not grow with the corpus. They hand over blocks of documents: each as the numbers of its
-units, and the tokens of the block's distinct units one after another.
-
-A byte offset where tokens of both end is in the intersection of the two arrays of ends. Sorted among the ends of one side it stands beside its equal, which tells the token's place; so
-groups come from one sort a side. Unit ends are common ends, so groups, their text and their links are made once for each distinct unit of a block, and documents are put together from
-units. A group's links are all its pairs of tokens. Groups of more than ``PLAIN_LINKS`` pairs (long runs in which the vocabularies never meet) are counted by distinct ids and their
+Workers cut and code texts by the two tokenizer libraries and, on the arrays of a block of documents, find their groups and links; counting ids over the corpus and all sums are Spark's. Coding works on units,
+texts cut where white space follows another character. Neither vocabulary has a token across such a place - where the second has pieces with white space other than the space, texts that hold that are cut at
+spaces alone - so a unit's tokens are those it has in the whole text. Workers keep the tokens of units seen up to a bound; memory does not grow with the corpus.
+
+A byte offset where tokens of both end is in the intersection of the two arrays of ends. Unit ends are common ends, so groups, their text and their links are made once for each distinct unit of a block, and
+documents are put together from units. A group's links are all its pairs of tokens. Groups of more than ``PLAIN_LINKS`` pairs (long runs in which the vocabularies never meet) are counted by distinct ids and their
 numbers, not pair by pair; the sums are the same.
 
 Null or empty text, and text whose tokens do not give back its bytes (in practice text with U+2581, which the second vocabulary reads as a space), has no tokens, groups or links.
@@ -51,10 +49,63 @@ def byte_level_bytes() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+#: What follows an id: another one of its side and group, the other side, the next group.
+_MARKS = ",|;"
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts, starts + 1, ... of each run, one run after another."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+class Groups:
+    """Groups of the distinct units of a block: ends of the units, and for each side the tokens' (ids, ends) from unit to unit, as ``Coder.code`` has them.
+
+    ``n_groups``, ``n_plain`` and ``n_many`` are by unit; ``links`` (a << 32 | b) and ``many`` (pair, times) stand from unit to unit.
+    """
+
+    def __init__(self, stops: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int):
+        common = np.intersect1d(a[1], b[1], assume_unique=True)
+        self.ids = [x[0].astype(np.int64) for x in (a, b)]
+        # Tokens of group g: from first[side][g] on, n[side][g] of them.
+        last = [np.searchsorted(x[1], common) for x in (a, b)]
+        self.n = [np.diff(x, prepend=-1) for x in last]
+        self.first = [x - n + 1 for x, n in zip(last, self.n)]
+        self.n_groups = np.diff(np.searchsorted(common, stops) + 1, prepend=0)
+        unit = np.repeat(np.arange(len(stops)), self.n_groups)
+        pairs = self.n[0] * self.n[1]
+        large = np.flatnonzero(pairs > most)
+        plain = np.where(pairs > most, 0, pairs)
+        self.n_plain = np.bincount(unit, plain, len(stops)).astype(np.int64)
+        within = _spread(np.zeros_like(plain), plain)
+        n_b = np.repeat(self.n[1], plain)
+        self.links = self.ids[0][np.repeat(self.first[0], plain) + within // n_b] << 32 | self.ids[1][np.repeat(self.first[1], plain) + within % n_b]
+        found = [self._crossed(g) for g in large.tolist()]
+        self.many = tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+        self.n_many = np.bincount(unit[large], [len(x[0]) for x in found], len(stops)).astype(np.int64)
+
+    def _crossed(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of a group and how many times it has each."""
+        (x, n), (y, m) = (np.unique(ids[f[g] : f[g] + n[g]], return_counts=True) for ids, f, n in zip(self.ids, self.first, self.n))
+        return (x[:, None] << 32 | y).ravel(), (n[:, None] * m).ravel()
+
+    def texts(self, names: list[str], n_ids: int) -> list[str]:
+        """Each unit's groups as ``a1,a2|b1;``, by the names of ids with the marks after them."""
+        (n_a, n_b), ends = self.n, np.cumsum(self.n[0] + self.n[1])
+        which = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        which[_spread(ends - n_a - n_b, n_a)] = self.ids[0][_spread(self.first[0], n_a)]
+        which[_spread(ends - n_b, n_b)] = self.ids[1][_spread(self.first[1], n_b)]
+        which[ends - n_b - 1] += n_ids
+        which[ends - 1] += 2 * n_ids
+        parts = list(map(names.__getitem__, which.tolist()))
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(self.n_groups)])].tolist()
+        return ["".join(parts[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+
 class Coder:
     """Codes texts by both vocabularies; keeps the tokens of units, those of one batch and about ``keep_tokens`` more."""
 
-    def __init__(self, json: str, model: bytes, keep_tokens: int = 1_500_000, long_unit: int = 256):
+    def __init__(self, json: str, model: bytes, keep_tokens: int = 800_000, long_unit: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -70,6 +121,9 @@ class Coder:
             raise ValueError("a piece goes on across a space")
         self.bytes = a, b
         self.lengths = [np.array([len(t.get(n, b"")) for n in range(max(t) + 1)], np.int32) for t in (a, b)]
+        # Each id's text in an alignment, with each of the marks that may follow it.
+        self.n_ids = max(map(len, self.lengths))
+        self.names = [f"{n}{mark}" for mark in _MARKS for n in range(self.n_ids)]
         # White space that stands in longer pieces, and what only this language counts as white space: units may not begin with it.
         bound = {c for t in pieces if len(t) > 1 and not t.startswith("<0x") for c in t if c.isspace()} | {*"\x1c\x1d\x1e\x1f"}
         self.odd = re.compile(f"[{re.escape(''.join(sorted(bound)))}]").search
@@ -148,127 +202,70 @@ class Coder:
 _coders: dict[str, Coder] = {}
 
 
-def _coded(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, block_bytes: int) -> DataFrame:
-    """(docs, ue, ia, ea, ib, eb): a row for each block. The vocabulary files are read on the driver and sent out; their size is independent of the corpus."""
+def _coder(digest: str, files) -> Coder:
+    """Of this module, not of a task's function, which has globals of its own."""
+    if digest not in _coders:
+        _coders.clear()
+        _coders[digest] = Coder(*files.value)
+    return _coders[digest]
+
+
+def _listed(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def _of_texts(by_unit: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+    """Sums of what the units of each text have."""
+    return np.diff(np.concatenate([[0], np.cumsum(by_unit)])[of_text])
+
+
+def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, finish=lambda aligned: aligned, block_bytes: int = 1_000_000) -> DataFrame:
+    """docs with n_a, n_b, n_groups, n_links (long), aligned, links and many_links.
+
+    ``aligned`` has the ids between neighbouring common ends, as ``a1,a2|b1;a3|b2,b3``, or what ``finish`` makes of that, a digest say; ``groups_of`` reads it. ``links`` array<long> has an entry
+    a << 32 | b for each link, ``many_links`` array<struct<pair long, times long>> those of large groups. a is the byte-level vocabulary of a tokenizers file, on the text after one space; b the
+    pieces of a sentencepiece model, which adds that space itself. The vocabulary files are read on the driver and sent out; their size is independent of the corpus.
+    """
     bounded_batches(spark, rows=2000)
     with open(json_path, encoding="utf-8") as f, open(model_path, "rb") as g:
         files = f.read(), g.read()
     digest = hashlib.sha256(files[0].encode() + files[1]).hexdigest()
-    shared = spark.sparkContext.broadcast(files)
+    shared, most = spark.sparkContext.broadcast(files), PLAIN_LINKS
     kept = _without(docs, *_MADE)
-    raw, units, n_a, n_b = fresh(kept.columns, "raw", "units", "n_a", "n_b")
+    raw = fresh(kept.columns, "raw")[0]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("text").cast("binary").alias(raw))
-    fields = ", ".join([f"`{f.name}`: {f.dataType.simpleString()}" for f in kept.schema] + [f"{units}: array<int>, {n_a}: long, {n_b}: long"])
-    names = [*kept.columns, units, n_a, n_b]
-
-    def listed(values: pa.Array, counts: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+    made = "n_a long, n_b long, n_groups long, n_links long, aligned string, links array<long>, many_links array<struct<pair: long, times: long>>"
+    names = [*kept.columns, *_MADE]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], made])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if digest not in _coders:
-            _coders.clear()
-            _coders[digest] = Coder(*shared.value)
+        coder = _coder(digest, shared)
         for b in batches:
             texts = b.column(b.num_columns - 1)
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for i, j in _parts(sizes, block_bytes):
-                numbers, counts, stops, sides = _coders[digest].code([(x.as_py() or b"").decode("utf-8", "replace") for x in texts.slice(i, j - i)])
-                members = pa.StructArray.from_arrays([*[b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)], listed(pa.array(numbers), counts), *[pa.array(x[2], pa.int64()) for x in sides]], names)
-                arrays = [listed(pa.array(v), np.array([len(v)])) for v in (stops, *sides[0][:2], *sides[1][:2])]
-                yield pa.RecordBatch.from_arrays([listed(members, np.array([j - i])), *arrays], ["docs", "ue", "ia", "ea", "ib", "eb"])
-
-    return rows.mapInArrow(work, f"docs array<struct<{fields}>>, ue array<int>, ia array<int>, ea array<int>, ib array<int>, eb array<int>")
-
-
-def _settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once for each row: a generator keeps Catalyst from putting their expressions into the lambdas that read them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once, inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _places(ends: str, common: str) -> Column:
-    """Where ends that are common stand, after a first one of -2: in the sorted array each is beside its equal, and the g-th has g earlier ones before it, so its place among the ends is g less."""
-    found = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda k: F.get(m, k) == F.get(m, k + 1))
-    return F.concat(F.array(F.lit(-2)), _let(F.sort_array(F.concat(ends, common)), lambda m: F.when(F.size(m) > 1, found(m)).otherwise(_none("int"))))
-
-
-def _none(of: str) -> Column:
-    return F.array().cast(f"array<{of}>")
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-
-
-def _counted(ids: Column) -> Column:
-    """(id, times) of the distinct ids of an array."""
-    ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: ~F.equal_null(F.get(s, i - 1), F.get(s, i)))
-    runs = lambda s, e: F.transform(e, lambda x, j: F.struct(F.get(s, x - 1).alias("id"), (x - F.coalesce(F.get(e, j - 1), F.lit(0))).cast("long").alias("times")))
-    return _let(F.sort_array(ids), lambda s: _let(ends(s), lambda e: runs(s, e)))
-
-
-def align(spark: SparkSession, docs: DataFrame, json_path: str, model_path: str, finish=lambda aligned: aligned, block_bytes: int = 2_000_000) -> DataFrame:
-    """docs with n_a, n_b, n_groups, n_links (long), aligned, links and many_links.
-
-    ``aligned`` has the ids between neighbouring common ends, as ``a1,a2|b1;a3|b2,b3``, or what ``finish`` makes of that, a digest say; ``groups_of`` reads it. ``links`` array<long> has an entry
-    a << 32 | b for each link, ``many_links`` array<struct<pair long, times long>> those of large groups. a is the byte-level vocabulary of a tokenizers file, on the text after one space; b the
-    pieces of a sentencepiece model, which adds that space itself.
-    """
-    coded = _coded(spark, docs, json_path, model_path, block_bytes)
-    rows = _settled(coded, common=F.array_intersect("ea", "eb"))
-    rows = _settled(rows, pa=_places("ea", "common"), pb=_places("eb", "common"), pu=_places("common", "ue"), sa=F.col("ia").cast("array<string>"), sb=F.col("ib").cast("array<string>"))
-
-    # Tokens of group g, and groups of unit u, from 0: how many, and the first one's place.
-    n_of = lambda p, g: F.get(p, g + 1) - F.get(p, g) - 1
-    first_of = lambda p, g: F.get(p, g) + 2 - g
-    run = lambda start, n: F.sequence(start, start + n - 1)
-    part = lambda values, p, g: F.transform(run(first_of(p, g), n_of(p, g)), lambda i: F.get(values, i))
-    pairs = lambda g: F.flatten(F.transform(part("ia", "pa", g), lambda x: F.transform(part("ib", "pb", g), lambda y: _pair(x, y))))
-    many = lambda g: n_of("pa", g).cast("long") * n_of("pb", g) > PLAIN_LINKS
-    crossed = lambda ra, rb: F.flatten(F.transform(ra, lambda x: F.transform(rb, lambda y: F.struct(_pair(x["id"], y["id"]).alias("pair"), (x["times"] * y["times"]).alias("times")))))
-    counted = lambda g: _let(_counted(part("ia", "pa", g)), lambda ra: _let(_counted(part("ib", "pb", g)), lambda rb: crossed(ra, rb)))
-
-    # What lambdas read is bound to values before: an expression would be computed for each token.
-    places = lambda w: F.struct(w["g"].alias("g"), w["n"].alias("n"), first_of("pa", w["g"]).alias("a"), first_of("pb", w["g"]).alias("b"), first_of("pa", w["g"] + w["n"]).alias("to_a"), first_of("pb", w["g"] + w["n"]).alias("to_b"))
-    bound = lambda u: _let(F.struct(first_of("pu", u).alias("g"), n_of("pu", u).alias("n")), places)
-    rows = _settled(rows, at=F.when(F.size("pu") > 1, F.transform(F.sequence(F.lit(0), F.size("pu") - 2), bound)))
-    single = lambda v: (v["to_a"] - v["a"] == v["n"]) & (v["to_b"] - v["b"] == v["n"])
-
-    def by_unit(plain, otherwise) -> Column:
-        """For each unit: plain(places of its a tokens, how much further its b tokens stand) where all groups have one token of each side, as most have, else otherwise(its groups)."""
-        return F.transform("at", lambda v: F.when(single(v), _let(v["b"] - v["a"], lambda shift: plain(run(v["a"], v["n"]), shift))).otherwise(otherwise(run(v["g"], v["n"]))))
-
-    texts = by_unit(
-        lambda places, shift: F.array_join(F.transform(places, lambda i: F.concat(F.get("sa", i), F.lit("|"), F.get("sb", i + shift))), ";"),
-        lambda groups: F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(part("sa", "pa", g), ","), F.lit("|"), F.array_join(part("sb", "pb", g), ","))), ";"),
-    )
-    links = by_unit(
-        lambda places, shift: F.transform(places, lambda i: _pair(F.get("ia", i), F.get("ib", i + shift))),
-        lambda groups: F.flatten(F.transform(groups, lambda g: F.when(many(g), _none("long")).otherwise(pairs(g)))),
-    )
-    none = _none("struct<pair: long, times: long>")
-    any_many = F.exists("at", lambda v: ~single(v) & F.exists(run(v["g"], v["n"]), many))
-    many_links = F.when(any_many, by_unit(lambda places, shift: none, lambda groups: F.flatten(F.transform(F.filter(groups, many), counted))))
-    rows = _settled(rows, texts=texts, links=links, many_links=many_links, groups=F.col("at.n"))
-
-    # Documents from their units.
-    kept = _without(docs, *_MADE).columns
-    units, n_a, n_b = coded.schema["docs"].dataType.elementType.names[-3:]
-
-    def document(d: Column) -> Column:
-        of = lambda c: F.transform(d[units], lambda u: F.get(c, u))
-        n_groups = F.aggregate(d[units], F.lit(0).cast("long"), lambda n, u: n + F.get("groups", u))
-        more = F.when(F.col("many_links").isNotNull(), F.flatten(of("many_links"))).otherwise(none)
-        made = [d[n_a].alias("n_a"), d[n_b].alias("n_b"), n_groups.alias("n_groups"), finish(F.array_join(of("texts"), ";")).alias("aligned"), F.flatten(of("links")).alias("links"), more.alias("many_links")]
-        return F.struct(*[d[c].alias(c) for c in kept], *made)
-
-    out = rows.select(F.inline(F.transform("docs", document)))
-    n_links = F.size("links") + F.aggregate("many_links", F.lit(0).cast("long"), lambda n, x: n + x["times"])
-    return out.select(*[F.col(f"`{c}`") for c in kept], "n_a", "n_b", "n_groups", n_links.alias("n_links"), "aligned", "links", "many_links")
+                numbers, counts, stops, (left, right) = coder.code([(x.as_py() or b"").decode("utf-8", "replace") for x in texts.slice(i, j - i)])
+                found = Groups(stops, left[:2], right[:2], most)
+                of_text = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+                # Links and texts of the units, put together to those of the documents.
+                plain, large = (_spread((np.cumsum(n) - n)[numbers], n[numbers]) for n in (found.n_plain, found.n_many))
+                n_plain, n_many = (_of_texts(n[numbers], of_text) for n in (found.n_plain, found.n_many))
+                pairs, times = (x[large] for x in found.many)
+                n_links = n_plain + np.diff(np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], np.cumsum(n_many)])])
+                by_unit = found.texts(coder.names, coder.n_ids)
+                own, cuts = list(map(by_unit.__getitem__, numbers.tolist())), of_text.tolist()
+                aligned = ["".join(own[s:e])[:-1] for s, e in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)], *[pa.array(x, pa.int64()) for x in (left[2], right[2], _of_texts(found.n_groups[numbers], of_text), n_links)],
+                        pa.array(aligned, pa.string()), _listed(pa.array(found.links[plain]), n_plain),
+                        _listed(pa.StructArray.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "times"]), n_many),
+                    ],
+                    names,
+                )
+
+    out = rows.mapInArrow(work, schema)
+    return out.withColumn("aligned", finish(F.col("aligned")))
 
 
 def groups_of(aligned: Column) -> Column:

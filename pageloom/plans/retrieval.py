@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import distinct_grams, search_tokens, weight_tag, word_tokens
+from pageloom.functions.text import search_bag, search_tokens, weight_tag, word_tokens
 from pageloom.operators import dense, evaluation, fusion, lexical, stats
 from pageloom.operators.encoding import encode_column
 
@@ -67,7 +67,7 @@ def hashed_encoder_topk(spark, sf_dir):
 def overlap_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The second ranked list of the fusion queries: cosine of the sets of tokens."""
     asked = queries.select("query_id", F.array_distinct(search_tokens(F.col("text"))).alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("term"))
-    rows = chunks.select("chunk_id", F.array_distinct(search_tokens(F.col("text"))).alias("t")).select("chunk_id", F.size("t").alias("nd"), F.explode("t").alias("term"))
+    rows = chunks.select("chunk_id", F.explode(F.array(F.array_distinct(search_bag(F.col("text"))))).alias("t")).select("chunk_id", F.size("t").alias("nd"), F.explode("t").alias("term"))
     score = F.count(F.lit(1)) / F.sqrt(F.col("nq") * F.col("nd").cast("double"))
     return lexical.top_k(rows.join(asked, "term").groupBy("query_id", "chunk_id", "nq", "nd").agg(score.alias("score")), k).select("query_id", "chunk_id", "score", "rank")
 
@@ -90,17 +90,14 @@ def contained(spark, sf_dir) -> DataFrame:
     """(query_id, doc_name, page_num, text): documents that contain an item's text, blank items left out.
 
     An item's inner tokens - the first and last may be parts of longer ones - stand in each document that contains it. So documents are found by
-    a run of up to five of them, ids alone, and then checked on their text. Items of one or two tokens have no inner one; they are looked for in each document.
+    the longest of them, ids alone, and then checked on their text. Items of one or two tokens have no inner one; they are looked for in each document.
     """
     items = _read(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"\S")).select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), word_tokens(F.col("text")).alias("w"))
-    keyed = items.where(F.size("w") > 2).select("query_id", F.array_join(F.slice("w", 2, F.least(F.lit(5), F.size("w") - 2)), " ").alias("gram"), F.least(F.lit(5), F.size("w") - 2).alias("n"))
+    inner = F.transform(F.slice("w", 2, F.size("w") - 2), lambda w: F.struct(F.length(w), w.alias("token")))
+    keyed = items.where(F.size("w") > 2).select("query_id", F.array_max(inner)["token"].alias("token"))
     docs = _read(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.explode(F.array(word_tokens(F.col("text")))).alias("w"))
-    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # at most 1 to 5
-    grams = F.array_union(*[distinct_grams(F.col("w"), n) for n in (lengths * 2)[:2]]) if lengths else F.array().cast("array<string>")
-    for n in lengths[2:]:
-        grams = F.array_union(grams, distinct_grams(F.col("w"), n))
-    found = words.select("doc_id", F.explode(grams).alias("gram")).join(keyed, "gram").select("doc_id", "query_id").distinct()
+    # Explosion, join and all: no lambda over a document's tokens.
+    found = docs.select("doc_id", F.explode(word_tokens(F.col("text"))).alias("token")).join(keyed, "token").select("doc_id", "query_id").distinct()
     short = items.where(F.size("w") <= 2).select("query_id", "item")
     checked = docs.join(found, "doc_id").join(items.select("query_id", "item"), "query_id").where(F.contains("text", "item"))
     direct = docs.join(short, F.contains("text", "item"))  # a stated query set against all rows

@@ -20,15 +20,27 @@ def normalised(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
 
 
+#: Vectors with a component beyond this, or one that is not a number, are compared by expressions.
+_LARGE = 1e150
+
+
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6, block: int = 4096) -> DataFrame:
-    """queries(query_id, q), corpus(vec_id, v) -> (query_id, vec_id, score, rank), by expressions alone.
+    """queries(query_id, q), corpus(vec_id, v) -> (query_id, vec_id, score, rank).
 
-    Every query meets every row, as an exact scan must; the queries are the stated set. Up to ``block`` of them go to the corpus, which then stays where it is; more go in blocks of as many.
+    Every query meets every row, as an exact scan must; the queries are the stated set. Vectors of the queries' length meet in matrix products, as ``dense_top_k_blocks`` has them;
+    pairs with another one - null, of another length, with a component that is null, huge or no number - by expressions.
     """
-    if queries.limit(block + 1).count() > block:
-        return dense_top_k_blocks(queries.sparkSession, queries, corpus, k, digits, block)
-    scored = corpus.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(inner_product("q", "v"), digits).alias("score"))
-    return best_of_each(scored, "vec_id", k)
+    spark, length = queries.sparkSession, queries.agg(F.max(F.size("q"))).first()[0] or 0
+
+    def even(v: str) -> Column:
+        plain = (F.size(F.array_compact(v)) == length) & (F.size(v) == length) & (F.array_max(v).cast("double") < _LARGE) & (F.array_min(v).cast("double") > -_LARGE)
+        return F.coalesce(plain, F.lit(False))
+
+    by_product = dense_top_k_blocks(spark, queries.where(even("q")), corpus.where(even("v")), k, digits, block).drop("rank")
+    columns = ["query_id", "vec_id", F.round(inner_product("q", "v"), digits).alias("score")]
+    others = [(corpus.where(~even("v")), queries), (corpus.where(even("v")), queries.where(~even("q")))]
+    scored = [rows.crossJoin(F.broadcast(own) if own.limit(block + 1).count() <= block else own).select(*columns) for rows, own in others]
+    return best_of_each(by_product.unionByName(scored[0]).unionByName(scored[1]), "vec_id", k)
 
 
 def best_of_each(scored: DataFrame, key: str, k: int) -> DataFrame:

@@ -83,3 +83,26 @@ def test_queries(spark):
     want = {k: -(-max(len(ruler(t or "")) - 50, 1) // 206) for k, t in pages.items() if (t or "").strip()}
     assert count == want
     assert all(c.n_tokens <= 256 for c in corpus.subword_chunks(spark, sf).collect())
+
+
+def test_pieces_are_counted_once():
+    """A text is not read into tokens where its words alone are too many, and a piece that fits is counted once; pieces and counts are those of the plain walk."""
+    ruler, seen = subwords.tokenizer_ruler(P.path("byte_bpe_50k.json"))(), []
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice(["word ", "ab. ", "\n", "\n\n", "x" * 40, "  ", "é\x1c", "!\x1c!"]) for _ in range(rnd.randrange(1, 400))) + "." for _ in range(40)] + ["a" * 900, "a b " * 300]
+
+    def walk(text, level=0):
+        n = len(ruler(text))
+        if n <= 60:
+            return [(text, n)]
+        if level == 4:
+            tokens = ruler(text)
+            return [(p, len(ruler(p))) for p in ("".join(tokens[i : i + 60]) for i in range(0, len(tokens), 60))]
+        parts = text.split(chunking.SEPARATORS[level])
+        return [x for p in [*(p + chunking.SEPARATORS[level] for p in parts[:-1]), parts[-1]] if p.strip() for x in walk(p, level + 1)]
+
+    plain = lambda t: ruler(t)
+    assert [chunking.sized_atoms(t, ruler, 60) for t in texts] == [walk(t) for t in texts] == [chunking.sized_atoms(t, plain, 60) for t in texts]
+    counted = lambda t: seen.append(t) or ruler(t)
+    counted.counts, counted.least = (lambda ts: seen.extend(ts) or ruler.counts(ts)), ruler.least
+    assert chunking.sized_atoms("one two. " * 300, counted, 60) and max(map(len, seen)) < 60 * 10 and len(seen) == 300

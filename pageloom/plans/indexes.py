@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.operators.cells import CellIndex
-from pageloom.operators.postings import StoredIndex
+from pageloom.operators.postings import StoredIndex, small
 from pageloom.store import scratch
 from pageloom.streaming.ingest import append_new, current, newest
 
@@ -22,7 +22,7 @@ def bm25_topk_stored(spark, sf_dir):
 def _maintained(spark, sf_dir) -> StoredIndex:
     """Labelled documents with stale texts first, then all others, then the labelled ones anew, and the toxic ones taken out."""
     path, docs, labels = scratch(spark, "stored"), _chunks(spark, sf_dir), _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "toxic")
-    labelled = docs.join(labels, "chunk_id", "left_semi").select("chunk_id", "text")
+    labelled = docs.join(small(labels.select("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "text")
     StoredIndex.create(path, labelled.withColumn("text", F.concat(F.lit("stale "), F.reverse("text"))))
     StoredIndex.open(spark, path).extended(docs)
     StoredIndex.open(spark, path).replaced(labelled)

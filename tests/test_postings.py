@@ -168,3 +168,33 @@ def test_a_retriever_takes_it(spark, tmp_path):
     index = StoredIndex.create(f"{tmp_path}/ix", rows)
     hits = Lexical(index).search(spark.createDataFrame([(1, "w4 common")], "query_id long, text string"), 3).orderBy("rank").collect()
     assert [h.chunk_id for h in hits] == ["c4", "c0", "c1"] and hits[0].doc_name == "d0"
+
+
+def test_a_search_sums_where_the_shards_are(spark, small_shards, tmp_path, monkeypatch):
+    """Blocks go to their shard's task once, whatever number of queries asks for them; what leaves it are hits, not all pairs of query and chunk."""
+    monkeypatch.setattr(postings, "TASK_PAIRS", 512)
+    monkeypatch.setattr(postings, "SHARD_BITS", 4)
+    rnd, kept = random.Random(3), {}
+    chunks = {i: " ".join(rnd.choices(["a", "b", "c", "d"], k=rnd.randrange(1, 30))) for i in range(300)}
+    queries = {i: " ".join(rnd.choices(["a", "b", "c", "d"], k=2)) for i in range(40)}
+    index = StoredIndex.create(f"{tmp_path}/ix", table(spark, chunks)).without(spark.createDataFrame([(i,) for i in range(0, 300, 9)], "chunk_id long"))
+    monkeypatch.setattr(postings, "stash", lambda s, df, tag, keep=postings.stash: kept.setdefault(tag, []).append(keep(s, df, tag)) or kept[tag][-1])
+    assert search(index, spark, queries) == slow({c: t for c, t in chunks.items() if c % 9}, queries, 5)
+    assert kept["sums"][1].count() < (kept["open"][0].count() << 4) / 2
+
+
+def test_blocks_of_a_task():
+    """Shards that batches cut are put together; an entry keeps its tf, dl and place."""
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    rows = [{"shard": i // 4 + (i > 40) * 3, "pos": i % 4, "dl": rnd.choice([0, 1, 2**31 - 1]), "terms": [{"term": t, "tf": rnd.choice([1, 65535])} for t in rnd.sample("abcdé😀", rnd.randrange(4))]} for i in range(90)]
+    kind = pa.schema([("shard", pa.int64()), ("pos", pa.int32()), ("dl", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 7], kind) for i in range(0, 90, 7)]
+    got = [b for out in postings._grouped(iter([*batches, batches[0].slice(0, 0)])) for b in out.to_pylist()]
+    want = {}
+    for r in rows:
+        for e in r["terms"]:
+            want.setdefault((e["term"], r["shard"]), []).append((r["dl"], e["tf"], r["pos"]))
+    assert len(got) == len(want) and {(b["term"], b["shard"]): sorted((e >> 31, e >> 15 & 65535, e & 32767) for e in b["entries"]) for b in got} == {k: sorted(v) for k, v in want.items()}
+    assert all(b["max_tf"] == max(t for _, t, _ in want[b["term"], b["shard"]]) for b in got)

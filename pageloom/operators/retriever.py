@@ -34,7 +34,7 @@ class Retriever(Protocol):
 BROADCAST_HITS = 500_000
 
 
-def _with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits are few beside the chunks: they are written, counted and sent to where the texts are."""
     hits = stash(ranked.sparkSession, ranked, "hits")
     hits = F.broadcast(hits) if hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS else hits
@@ -50,7 +50,7 @@ class Lexical:
         return self.index.top_k(queries, k).select("query_id", "chunk_id", "score", "rank")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return _with_chunks(self.ranked(queries, k), self.index.chunks)
+        return with_chunks(self.ranked(queries, k), self.index.chunks)
 
 
 @dataclass
@@ -92,7 +92,7 @@ class Dense:
         return dense.dense_top_k(asked, corpus, k).select("query_id", F.col("vec_id").alias("chunk_id"), "score", "rank")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return _with_chunks(self.ranked(queries, k), self.index.chunks)
+        return with_chunks(self.ranked(queries, k), self.index.chunks)
 
 
 @dataclass
@@ -118,7 +118,7 @@ class Hybrid:
         return fused.select("query_id", "chunk_id", F.col("rrf").alias("score"), "rank")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return _with_chunks(self.ranked(queries, k), self.lexical.index.chunks)
+        return with_chunks(self.ranked(queries, k), self.lexical.index.chunks)
 
 
 @dataclass

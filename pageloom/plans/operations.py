@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import REFUSAL
 from pageloom.operators import answers, configured, evaluation, judging, lexical, pairwise, retriever, sampling
 from pageloom.sources import config, files
-from pageloom.store import scratch
+from pageloom.store import scratch, stash
 from pageloom.streaming.ingest import append_new
 
 from .corpus import _RULER
-from .retrieval import KS, SQL as RETRIEVAL_SQL, _EVIDENCE, _INDEX, _OVERLAP, _PAGES, _bm25, _evidence, _hits, _queries, _questions, _read, _rrf, overlap_top_k
+from .retrieval import KS, SQL as RETRIEVAL_SQL, _EVIDENCE, _INDEX, _OVERLAP, _PAGES, _bm25, _evidence, _hits, _pages_as_chunks, _queries, _questions, _read, _rrf, overlap_top_k
 
 
 def _text_md5():
@@ -129,20 +129,16 @@ class _Overlap:
 
     name = "overlap"
 
-    def __init__(self, chunks: DataFrame):
-        self.chunks = chunks
+    def __init__(self, index: lexical.LexicalIndex):
+        self.index = index
 
     def ranked(self, queries: DataFrame, k: int) -> DataFrame:
-        return overlap_top_k(queries, self.chunks, k)
-
-
-def _pages_as_chunks(spark, sf_dir) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), (F.col("doc_id") + 1).cast("int").alias("page_number"), "text")
+        return overlap_top_k(queries, self.index, k)
 
 
 def hybrid_search(spark, sf_dir):
-    chunks = _pages_as_chunks(spark, sf_dir)
-    both = retriever.Hybrid(_Overlap(chunks), retriever.Lexical(lexical.LexicalIndex.build(chunks)), 0.9)
+    index = lexical.LexicalIndex.build(_pages_as_chunks(spark, sf_dir))
+    both = retriever.Hybrid(_Overlap(index), retriever.Lexical(index), 0.9)
     return both.search(_queries(spark, sf_dir), 5).select("query_id", "chunk_id", "doc_name", "page_number", F.col("score").alias("rrf"), "rank", _text_md5())
 
 
@@ -150,7 +146,8 @@ def retrieval_comparison(spark, sf_dir):
     """page_hit, evidence hit and gram recall of two retrievers, a row each."""
     chunks, queries = _pages_as_chunks(spark, sf_dir), _queries(spark, sf_dir)
     bm25 = retriever.Lexical(lexical.LexicalIndex.build(chunks))
-    found = {"bm25": bm25.search(queries, 20), "overlap": retriever._with_chunks(_Overlap(chunks).ranked(queries, 20), chunks)}
+    found = {"bm25": bm25.search(queries, 20), "overlap": retriever.with_chunks(_Overlap(bm25.index).ranked(queries, 20), chunks)}
+    found = {name: stash(spark, hits, "hits") for name, hits in found.items()}  # few, read several times below
     out = evaluation.comparison(_questions(spark, sf_dir), _evidence(spark, sf_dir), found, KS)
     return out.select("configuration", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import search_bag, search_tokens, weight_tag, word_tokens
 from pageloom.operators import dense, evaluation, fusion, lexical, stats
 from pageloom.operators.encoding import encode_column
+from pageloom.operators.retriever import with_chunks
+from pageloom.operators.scan import containing
+from pageloom.store import stash
 
 KS = (1, 3, 5, 10, 20)
 WEIGHTS = (0.0, 0.5, 0.7, 0.8, 0.9, 1.0)
@@ -64,18 +67,27 @@ def hashed_encoder_topk(spark, sf_dir):
     return dense.dense_top_k_blocks(spark, queries, corpus, k=10)
 
 
-def overlap_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The second ranked list of the fusion queries: cosine of the sets of tokens."""
+def overlap_top_k(queries: DataFrame, index: lexical.LexicalIndex, k: int) -> DataFrame:
+    """The second ranked list of the fusion queries: cosine of the sets of tokens of the index's chunks."""
+    chunks = index.chunks
+    if (scan := index.scan(queries)) and (best := scan.overlap(k)) is not None:
+        return lexical.top_k(best, k).select("query_id", "chunk_id", "score", "rank")
     asked = queries.select("query_id", F.array_distinct(search_tokens(F.col("text"))).alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("term"))
     rows = chunks.select("chunk_id", F.explode(F.array(F.array_distinct(search_bag(F.col("text"))))).alias("t")).select("chunk_id", F.size("t").alias("nd"), F.explode("t").alias("term"))
     score = F.count(F.lit(1)) / F.sqrt(F.col("nq") * F.col("nd").cast("double"))
     return lexical.top_k(rows.join(asked, "term").groupBy("query_id", "chunk_id", "nq", "nd").agg(score.alias("score")), k).select("query_id", "chunk_id", "score", "rank")
 
 
+def _both_lists(queries: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Overlap and BM25, from one pass over the texts."""
+    index = lexical.LexicalIndex.build(chunks)
+    return overlap_top_k(queries, index, k), index.top_k(queries, k)
+
+
 def _fused(spark, sf_dir, weights, k=20):
     queries, chunks = _queries(spark, sf_dir), _chunks(spark, sf_dir)
     table = spark.createDataFrame([(w,) for w in weights], "weight double")
-    return fusion.fuse(overlap_top_k(queries, chunks, fusion.POOL), lexical.bm25_top_k(queries, chunks, fusion.POOL), table, k)
+    return fusion.fuse(*_both_lists(queries, chunks, fusion.POOL), table, k)
 
 
 def rrf_fuse(spark, sf_dir):
@@ -90,12 +102,14 @@ def contained(spark, sf_dir) -> DataFrame:
     """(query_id, doc_name, page_num, text): documents that contain an item's text, blank items left out.
 
     An item's inner tokens - the first and last may be parts of longer ones - stand in each document that contains it. So documents are found by
-    the longest of them, ids alone, and then checked on their text. Items of one or two tokens have no inner one; they are looked for in each document.
+    the longest of them and then checked on their text. Items of one or two tokens have no inner one; they are looked for in each document.
     """
     items = _read(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"\S")).select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), word_tokens(F.col("text")).alias("w"))
     inner = F.transform(F.slice("w", 2, F.size("w") - 2), lambda w: F.struct(F.length(w), w.alias("token")))
-    keyed = items.where(F.size("w") > 2).select("query_id", F.array_max(inner)["token"].alias("token"))
     docs = _read(spark, sf_dir, "documents")
+    if (found := containing(items.select("query_id", "item", F.when(F.size("w") > 2, F.array_max(inner)["token"]).alias("token")), docs)) is not None:
+        return found
+    keyed = items.where(F.size("w") > 2).select("query_id", F.array_max(inner)["token"].alias("token"))
     # Explosion, join and all: no lambda over a document's tokens.
     found = docs.select("doc_id", F.explode(word_tokens(F.col("text"))).alias("token")).join(keyed, "token").select("doc_id", "query_id").distinct()
     short = items.where(F.size("w") <= 2).select("query_id", "item")
@@ -111,7 +125,7 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 def _evidence(spark, sf_dir) -> DataFrame:
     """Each containing page is evidence; the text counts once for each document, and for src0 where no page contains it."""
-    found = contained(spark, sf_dir)
+    found = stash(spark, contained(spark, sf_dir), "contained")
     pages = found.select("query_id", F.lit(-1).cast("long").alias("span"), "doc_name", "page_num", F.lit(None).cast("string").alias("text"))
     spans = found.select("query_id", "doc_name", "text").distinct()
     bare = _queries(spark, sf_dir).join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit("src0").alias("doc_name"), "text")
@@ -119,10 +133,12 @@ def _evidence(spark, sf_dir) -> DataFrame:
     return pages.unionByName(texts)
 
 
+def _pages_as_chunks(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), (F.col("doc_id") + 1).cast("int").alias("page_number"), "text")
+
+
 def _hits(spark, sf_dir) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), (F.col("doc_id") + 1).cast("int").alias("page_number"), "text")
-    top = lexical.bm25_top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20)
-    return top.join(docs, "chunk_id")
+    return with_chunks(lexical.bm25_top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20), _pages_as_chunks(spark, sf_dir))
 
 
 def gold_pages(spark, sf_dir):
@@ -169,10 +185,9 @@ def retrieval_summary_grouping_sets(spark, sf_dir):
 
 def paired_bootstrap_ci(spark, sf_dir):
     queries, chunks = _queries(spark, sf_dir), _chunks(spark, sf_dir)
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_name"), (F.col("doc_id") + 1).cast("int").alias("page_number"), "text")
-    parts = []
-    for name, top in (("baseline", lexical.bm25_top_k(queries, chunks, 10)), ("overlap", overlap_top_k(queries, chunks, 10))):
-        got = evaluation.page_metrics(_questions(spark, sf_dir), _evidence(spark, sf_dir), top.join(docs, "chunk_id"), (5, 10))
+    evidence, pages, parts = _evidence(spark, sf_dir), _pages_as_chunks(spark, sf_dir), []
+    for name, top in zip(("overlap", "baseline"), _both_lists(queries, chunks, 10)):
+        got = evaluation.page_metrics(_questions(spark, sf_dir), evidence, with_chunks(top, pages), (5, 10))
         parts.append(got.withColumn("variant", F.lit(name)))
     out = stats.paired_bootstrap(parts[0].unionByName(parts[1]), ["mrr", "page_hit_5", "page_hit_10"])
     return out.select("variant", "metric", *[F.round(c, 6).alias(c) for c in ("value", "delta_vs_baseline", "delta_ci95_low", "delta_ci95_high")], "n_questions")

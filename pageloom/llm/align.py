@@ -32,6 +32,8 @@ from .shared import Stash, bounded_batches, fresh
 
 #: Groups of more pairs than this are counted by distinct ids.
 PLAIN_LINKS = 256
+#: So many units go to the first library as one text.
+RUN = 64
 #: Counts of this many id pairs, the most frequent, go to every task; the others are joined in.
 BROADCAST_PAIRS = 200_000
 
@@ -138,6 +140,7 @@ class Coder:
         self.size = none.astype(np.int64)
         self.counts = [none.astype(np.int64)] * 2
         self.ids, self.ends = [none] * 2, [none] * 2
+        self.new: list[list[tuple[np.ndarray, ...]]] = [[], []]  # (ids, ends, counts), not yet in the arrays
         self.full = False
 
     def _pieces(self, units: list[str]) -> list[list[int]]:
@@ -145,25 +148,41 @@ class Coder:
         found = self.b.encode([u[u[0] == " " :] for u in units], num_threads=1)
         return [f if u[0] != " " else f or [self.space] for u, f in zip(units, [f if u[0] == " " else f[1:] for u, f in zip(units, found)])]
 
-    def _learn(self, units: list[str]) -> None:
+    def _first(self, units: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of the first side. Units are coded in runs, as a call costs as much as a unit; no token crosses from one to the next where white space follows another character."""
+        ends = [i + 1 for i, u in enumerate(units) if u[-1].isspace()]  # nothing may follow these
+        cuts = sorted({0, len(units), *range(0, len(units), RUN), *ends})
+        coded = self.a.encode_batch_fast(["".join(units[i:j]) for i, j in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int32)
+        stops, of_unit = np.cumsum(self.lengths[0][ids], dtype=np.int64), np.cumsum(size)
+        last = np.searchsorted(stops, of_unit, "right")
+        if len(ids) and last[0] and last[-1] == len(ids) and (stops[last - 1] == of_unit).all():
+            return np.diff(last, prepend=0), ids
+        coded = self.a.encode_batch_fast(units, add_special_tokens=False)
+        return np.fromiter(map(len, coded), np.int64, len(units)), np.fromiter(chain.from_iterable(e.ids for e in coded), np.int32)
+
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [u.encode() for u in units]
         size = np.array([len(r) for r in raw], np.int64)
         whole = np.ones(len(units), bool)
-        coded = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)], self._pieces(units)
-        for side, own in enumerate(coded):
-            counts = np.array([len(x) for x in own], np.int64)
-            ids = np.fromiter(chain.from_iterable(own), np.int32, counts.sum())
-            stops = np.cumsum(self.lengths[side][ids], dtype=np.int64)
-            last = np.cumsum(counts)
-            before = np.concatenate([[0], stops])[last - counts]  # bytes of the units before
-            table = self.bytes[side]
-            if b"".join(map(table.__getitem__, ids.tolist())) != b"".join(raw) or (np.concatenate([[0], stops])[last] - before != size).any():
-                whole &= [b"".join(table[n] for n in x) == r for x, r in zip(own, raw)]
-            self.ids[side] = np.concatenate([self.ids[side], ids])
-            self.ends[side] = np.concatenate([self.ends[side], (stops - np.repeat(before, counts)).astype(np.int32)])
-            self.counts[side] = np.concatenate([self.counts[side], counts])
-        self.known.update(zip(units, range(len(self.size), len(self.size) + len(units))))
-        self.whole, self.size = np.concatenate([self.whole, whole]), np.concatenate([self.size, size])
+        # Ids go into arrays at once: lists of all units' ids would be looked through by the garbage collector again and again.
+        self._add(0, raw, size, whole, *self._first(units, size))
+        coded = self._pieces(units)
+        self._add(1, raw, size, whole, np.fromiter(map(len, coded), np.int64, len(units)), np.fromiter(chain.from_iterable(coded), np.int32))
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        return whole, size
+
+    def _add(self, side: int, raw: list[bytes], size: np.ndarray, whole: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """New units' tokens on one side; whole: less those whose tokens do not give their bytes."""
+        stops = np.cumsum(self.lengths[side][ids], dtype=np.int64)
+        last = np.cumsum(counts)
+        before = np.concatenate([[0], stops])[last - counts]  # bytes of the units before
+        table = self.bytes[side]
+        said = b"".join(map(table.__getitem__, ids.tolist()))
+        if said != b"".join(raw) or (np.concatenate([[0], stops])[last] - before != size).any():
+            ends = np.concatenate([[0], stops])[last].tolist()
+            whole &= [said[i:j] == r for i, j, r in zip(before.tolist(), ends, raw)]
+        self.new[side].append((ids, (stops - np.repeat(before, counts)).astype(np.int32), counts))
 
     def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """Numbers of the texts' units, how many each text has, ends of the distinct units, and for each side their tokens' (ids, ends), which go on from unit to unit, and the tokens of each text."""
@@ -171,9 +190,12 @@ class Coder:
             self._clear()
         units = [(_SPACED if self.odd(t) else _UNIT)(f" {t}") if t else [] for t in texts]
         new = list(set(chain.from_iterable(units)) - self.known.keys())
-        for i in range(0, len(new), 5000):
-            self._learn(new[i : i + 5000])
+        learnt = [self._learn(new[i : i + 5000]) for i in range(0, len(new), 5000)]
         if new:
+            for side, own in enumerate(self.new):
+                self.ids[side], self.ends[side], self.counts[side] = (np.concatenate(x) for x in zip((self.ids[side], self.ends[side], self.counts[side]), *own))
+                own.clear()
+            self.whole, self.size = (np.concatenate(x) for x in zip((self.whole, self.size), *learnt))
             self.full = max(map(len, new)) > self.long_unit  # long units are not kept beyond this batch
         sizes = [len(u) for u in units]
         every = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, sum(sizes))
